@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, tokens, urls
+from . import decontam, language, neardup, packing, pii, quality, secret_scan, tokens, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -21,11 +21,43 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(spark, docs, public_tokenizers.path(TOKENIZER))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find(spark, docs, pii.train(docs))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urls.judge(spark, table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents", "doc_id", "text"), k=2, percent=80)
+
+
+def fold(column: str, parts: int):
+    """crc32 of the id as text, modulo ``parts``; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.train(docs, fold("doc_id", 4) != 2)
+    held = docs.select("doc_id", "text", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    return language.predict(spark, held, model, keep=["doc_id", "held_out"])
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontam.find_hits(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=10)
+    return found.select("doc_id", "n_words", decontam.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
@@ -33,6 +65,15 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold("doc_id", 3) != 1)
+    model = toxicity.train(docs, labels)
+    held = docs.select("doc_id", "text", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    scored = toxicity.score(spark, held, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER))
@@ -40,8 +81,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_planes": op1_token_planes,
+    "op2_personal_data": op2_personal_data,
     "op3_url_rules": op3_url_rules,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_language": op5_language,
+    "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
