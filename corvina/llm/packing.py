@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, written
-from .tokens import END, Encoder
+from .tokens import END, encoder_of
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False)
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = encoder_of(tokenizer), TaskContext.get().partitionId(), Counter()
         for rows, texts in slices(batches, "text"):
             out: list[list] = [[] for _ in schema]
             for doc_id, raw in zip(rows.column(0).to_pylist(), encoder.encode(texts)):

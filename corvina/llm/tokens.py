@@ -15,6 +15,7 @@ Null and empty texts give one id, the end id. An empty table gives no shard.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -122,6 +123,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A Python worker's encoder: tasks that follow one another in it find the words of earlier ones."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
     """The planes of uint32 ids: 4 byte planes, or 32 bit planes (each packed, the last byte filled with zeros)."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -207,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = 1
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         held: list[tuple[list, list]] = []
         size = seq = before = 0
 
