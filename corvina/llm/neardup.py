@@ -173,11 +173,19 @@ def open_pairs(spark: SparkSession, postings: DataFrame, comps: DataFrame, perce
     return written(spark, pairs.select("a", "b").distinct(), "pairs")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 56, rows: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+def with_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with id: the doc_id, or a negative number made from the text where it is missing."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = F.lit(-(1 << 62)) - F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))  # stands in for a missing doc_id
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("id", F.coalesce("doc_id", own))
+    own = F.lit(-(1 << 62)) - F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), own))
+
+
+def resolved(spark: SparkSession, docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id, n_shingles, d1, d2, bands) of each row; (d1, d2, component_id, first_id) of each class of equal sets.
+
+    first_id is component_id, or the smallest made-up id of a component without any doc_id.
+    """
+    base = with_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     rows_ = written(spark, sketched(base, k, bands, rows), "sketches")
     classes = rows_.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.min("doc_id").alias("least_doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = written(spark, classes, "classes")
@@ -202,8 +210,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
 
     members = classes.select("d1", "d2", "least_doc", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named = members.join(least, "comp").select("d1", "d2", "component_id")
+    named = members.join(least, "comp").select("d1", "d2", "component_id", F.coalesce("component_id", "comp").alias("first_id"))
+    return rows_, named
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 56, rows: int = 6) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+    rows_, named = resolved(spark, docs, k, percent, bands, rows)
     # the empty set has no class: such documents stand alone
-    out = rows_.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = rows_.select("doc_id", "n_shingles", "d1", "d2").join(named.drop("first_id"), ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 56, rows: int = 6) -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged: of each component one, the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document, of which one row stays; rows without doc_id are told apart by their text.
+    """
+    rows_, named = resolved(spark, docs, k, percent, bands, rows)
+    stay = named.select(F.col("first_id").alias("id")).unionByName(rows_.where("n_shingles = 0").select("id")).distinct()
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "text")
+    out = with_id(held).drop("doc_id", "text").join(stay, "id", "left_semi")
+    repeated = rows_.groupBy("id").count().where("count > 1").limit(1)
+    if not repeated.isEmpty():
+        out = out.dropDuplicates(["id"])
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
