@@ -13,8 +13,8 @@ Steps, each over tables in the shared folder:
 3. postings: band hashes that two classes or more share; a pair of similarity 0.8 shares no band of 56 with 6 rows
    with probability 4e-8;
 4. each bucket first links its members to its smallest one; links are confirmed on the full sets; connected components;
-5. only buckets that still hold more than one component go on: their members are compared across components, in
-   large buckets within finer buckets (see ``open_pairs``), until nothing is open.
+5. only buckets that still hold more than one component go on: members outside a bucket's largest component are
+   compared with the members of other components, in large buckets block by block (see ``open_pairs``).
 
 No bucket is capped and nothing is collected: a bucket whose members are all in one component is done after step 4.
 
@@ -25,6 +25,8 @@ rows has none, and all its rows are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -143,34 +145,97 @@ def confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: i
     return written(spark, both.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b").distinct(), "links")
 
 
-#: A bucket of so many members is compared as a whole; larger ones within finer buckets.
+#: Buckets of so many members are compared by a join; larger ones block by block.
 SMALL = 32
+#: Members of a block.
+BLOCK = 1024
+#: Bits of the table in which a block marks a set.
+MARK_BITS = 22
 
 
-def open_pairs(spark: SparkSession, postings: DataFrame, comps: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs across components in buckets that hold more than one; None if there is no such bucket.
+def open_pairs(spark: SparkSession, postings: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Candidate pairs across components in the buckets that hold more than one component; empty if there is none.
 
-    A pair of similarity 0.8 shares about 15 of 56 bands, and fewer than 3 with probability 3e-6. So members of a
-    large bucket are compared only if they share two more bands' hashes: a bucket's open members are dealt into the
-    finer buckets (key, second key). What is open there and still large is compared by blocks of components.
+    Members of the bucket's largest component are never compared with each other, so what is done grows with the
+    members outside it.
     """
     placed = postings.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "members")
-    opened = written(spark, placed.join(keys, "key").select("key", "id", "n", "comp", "members"), "open")
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
+    keys = parts.groupBy("key").agg(F.sum("n_comp").alias("members"), F.max_by("comp", F.struct("n_comp", "comp")).alias("main"), F.max("n_comp").alias("in_main")).where("members > in_main")
+    opened = written(spark, placed.join(keys, "key"), "open")
     if opened.isEmpty():
-        return None
+        return []
     small = opened.where(F.col("members") <= SMALL).select("key", "id", "n", "comp")
-    large = opened.where(F.col("members") > SMALL).select("key", "id", "n", "comp")
-    groups = small
-    if not large.isEmpty():
-        other = large.select("id", F.col("key").alias("key2"))
-        finer = large.join(other, "id").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "id", "n", "comp")
-        live = finer.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        groups = small.unionByName(finer.join(live, "key", "left_semi"))
-    a = groups.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    b = groups.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
+    a = small.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
+    b = small.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
     pairs = a.join(b, "key").where("a < b and c_a <> c_b").where(sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-    return written(spark, pairs.select("a", "b").distinct(), "pairs")
+    out = [pairs.select("a", "b").distinct()]
+    large = opened.where(F.col("members") > SMALL)
+    if not large.isEmpty():
+        out.append(block_pairs(large, sets, percent))
+    return out
+
+
+def block_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """In each bucket, the pairs of a member outside the main component and a member of another component whose sets may
+    reach the similarity.
+
+    A task gets a block of outside members and a block of all members with their shingles cut to 31 bits. It counts
+    shared shingles by marking one set at a time, which can only count too many; so none is missed, and the pairs it
+    gives are confirmed on the full sets afterwards. Only these pairs leave the task.
+    """
+    grams = sets.join(large.select("id").distinct(), "id", "left_semi").groupBy("id", "n").agg(F.first("grams").alias("grams"))
+    grams = grams.select("id", F.transform("grams", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("grams"))
+    whole = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    of_all, of_outside = whole(F.col("members")), whole(F.col("members") - F.col("in_main"))
+    members = large.select("key", every(of_outside).alias("i"), dealt(of_all).alias("j"), F.lit(0).alias("role"), "id", "n", "comp")
+    outside = large.where("comp <> main").select("key", dealt(of_outside).alias("i"), every(of_all).alias("j"), F.lit(1).alias("role"), "id", "n", "comp")
+    rows = members.unionByName(outside).join(grams, "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role").select("key", "i", "j", "role", "id", "n", "comp", "grams")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(block: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(block)
+        role, ids, n, comp = (t.column(c).to_numpy() for c in ("role", "id", "n", "comp"))
+        lists = t.column("grams").combine_chunks()
+        flat = lists.flatten().to_numpy() & ((1 << MARK_BITS) - 1)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        m = int((role == 0).sum())
+        if not m:
+            return []
+        columns, starts = flat[: ends[m]], ends[:m]
+        marks, out = np.zeros(1 << MARK_BITS, np.uint8), []
+        for r in range(m, len(role)):
+            own = flat[ends[r] : ends[r + 1]]
+            marks[own] = 1
+            shared = np.add.reduceat(marks[columns], starts, dtype=np.int64)
+            marks[own] = 0
+            hit = (100 * shared >= percent * (n[:m] + n[r] - shared)) & (comp[:m] != comp[r])
+            out += [(min(int(ids[r]), x), max(int(ids[r]), x)) for x in ids[:m][hit].tolist()]
+        return out
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if s == e:
+                    continue
+                here = tuple(int(k[s]) for k in keys)
+                if held and here != at:
+                    found = compared(held)
+                    held = []
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+                at = here
+                held.append(batch.slice(s, e - s))
+        if held and (found := compared(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def with_id(docs: DataFrame) -> DataFrame:
@@ -203,10 +268,9 @@ def resolved(spark: SparkSession, docs: DataFrame, k: int, percent: int, bands:
     pairs = written(spark, pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = confirmed(spark, pairs, sets, percent)
     comps = components(spark, edges)
-    more = open_pairs(spark, postings, comps, percent)
-    if more is not None:
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        comps = components(spark, edges.unionByName(confirmed(spark, more, sets, percent)))
+    more = [confirmed(spark, found.join(pairs, ["a", "b"], "left_anti"), sets, percent) for found in open_pairs(spark, postings, comps, sets, percent)]
+    if more:
+        comps = components(spark, reduce(DataFrame.unionByName, more, edges))
 
     members = classes.select("d1", "d2", "least_doc", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
