@@ -13,6 +13,7 @@ share a doc_id are judged each for itself.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,39 +69,47 @@ def repeated_words(words: Column) -> Column:
     return bind(words, counted)
 
 
+Measures = dict[str, Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: a condition on the column ``text`` (never null) and, for speed, on ``words``."""
+    """``rejects``: from measures of a text to a condition."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Measures], Column]
 
 
-def measured(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
-    """``docs`` (its ``carried`` columns) with text made non-null, words and the five measures."""
-    carried = ["doc_id"] if carried is None else carried
+def expressions(text: Column, words: Column) -> Measures:
+    """The measures as expressions of a text (never null) and its words."""
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": symbols(text).cast("long"),
+        "n_lines": F.size(lines_of(text)).cast("long"),
+        "n_dup_lines": duplicate_lines(text).cast("long"),
+        "n_repeat_words": repeated_words(words).cast("long"),
+    }
+
+
+def with_words(docs: DataFrame, *carried: str) -> DataFrame:
     texts = docs.select(*carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    with_words = texts.withColumn("words", words_of(F.col("text")))
-    return with_words.withColumns(
-        {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": symbols(F.col("text")).cast("long"),
-            "n_dup_lines": duplicate_lines(F.col("text")).cast("long"),
-            "n_repeat_words": repeated_words(F.col("words")).cast("long"),
-        }
-    )
+    return texts.withColumn("words", words_of(F.col("text")))
+
+
+def measured(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """The ``carried`` columns (doc_id), text made non-null, words and the measures as columns."""
+    texts = with_words(docs, *(["doc_id"] if carried is None else carried))
+    return texts.withColumns(expressions(F.col("text"), F.col("words")))
 
 
 def standard_rules() -> list[Rule]:
-    text, words = F.col("text"), F.col("words")
-    n = F.size(words)
     return [
-        Rule("too_short", n < 20),
-        Rule("repeated_passages", 100 * repeated_words(words) > 30 * n),
-        Rule("symbols", 2 * symbols(text) > 3 * n),
-        Rule("repeated_lines", bind(lines_of(text), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
-        Rule("word_length", bind(F.length(F.array_join(words, "")), lambda c: (c > 25 * n) | (c < 2 * n))),
+        Rule("too_short", lambda m: m["n_words"] < 20),
+        Rule("repeated_passages", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+        Rule("symbols", lambda m: 2 * m["n_symbols"] > 3 * m["n_words"]),
+        Rule("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+        Rule("word_length", lambda m: (m["word_chars"] > 25 * m["n_words"]) | (m["word_chars"] < 2 * m["n_words"])),
     ]
 
 
@@ -109,25 +118,36 @@ def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000, s
     total = docs.count()
     sample = docs.select("text").sample(fraction=min(1.0, sample_rows / max(total, 1)), seed=seed)
     sample = written(docs.sparkSession, sample, "sample")
-    texts = sample.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
+    texts, measures = with_words(sample), expressions(F.col("text"), F.col("words"))
     found = []
     for rule in rules:
         began = time.perf_counter()
-        share = texts.agg(F.avg(rule.rejects.cast("double"))).first()[0] or 0.0
+        share = texts.agg(F.avg(rule.rejects(measures).cast("double"))).first()[0] or 0.0
         found.append((rule, time.perf_counter() - began, share))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def cascade(rules: list[Rule]) -> Column:
+def cascade(rules: list[Rule], measures: Measures) -> Column:
     """The name of the first rule that rejects, in the given order; null if none does."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects, F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.rejects(measures), F.lit(rule.name)).otherwise(verdict)
     return verdict
 
 
+def kept(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, unchanged. A measure is only taken where a rule asks for it, so what
+    the first rules reject costs the others nothing."""
+    order = [r for r, _, _ in ordered_rules(docs, standard_rules() if rules is None else rules)]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.where(cascade(order, expressions(text, words_of(text))).isNull())
+
+
 def judge(docs: DataFrame, rules: list[Rule] | None = None, carried: list[str] | None = None) -> DataFrame:
-    """The measures, rejected_by (the cascade's first rule that rejects; which one depends on the order) and kept."""
+    """The measures of every row, rejected_by (the cascade's first rule that rejects; which one depends on the order)
+    and kept. The cascade reads the measures, which are taken once."""
     order = [r for r, _, _ in ordered_rules(docs, standard_rules() if rules is None else rules)]
-    out = measured(docs, carried).withColumn("rejected_by", cascade(order))
+    out = measured(docs, carried)
+    names = expressions(F.col("text"), F.col("words"))
+    out = out.withColumn("rejected_by", cascade(order, {n: F.col(n) for n in names}))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text", "words")

@@ -58,7 +58,11 @@ def test_measures(spark, odd, prose):
 def test_order_does_not_matter(spark, prose):
     docs = spark.createDataFrame([(i, prose(5 * i, i)) for i in range(12)] + [(99, "b " * 50)], "doc_id long, text string")
     rules = quality.standard_rules()
-    seen = {frozenset(r[0] for r in quality.measured(docs).where(quality.cascade(order).isNull()).select("doc_id").collect()) for order in (rules, rules[::-1], rules[2:] + rules[:2])}
+    measures = quality.measured(docs)
+    columns = {c: measures[c] for c in measures.columns}
+    seen = {frozenset(r[0] for r in measures.where(quality.cascade(order, columns).isNull()).select("doc_id").collect()) for order in (rules, rules[::-1], rules[2:] + rules[:2])}
+    seen.add(frozenset(r[0] for r in quality.kept(docs).collect()))
+    seen.add(frozenset(r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]))
     assert len(seen) == 1
     ordered = quality.ordered_rules(docs, rules)
     assert [s / c for _, c, s in ordered] == sorted((s / c for _, c, s in ordered), reverse=True)
