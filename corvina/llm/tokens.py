@@ -80,7 +80,7 @@ class Encoder:
     _pairs = re.compile(r"\s\s")
     _cuts = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
