@@ -61,6 +61,31 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What a Python worker keeps between tasks, by key: one thing at a time.
+_kept: dict = {}
+_asked = False
+
+
+def kept(key: tuple, make: Callable):
+    """``make()``, kept in the Python worker for later tasks that ask for the same key; another key's is let go first."""
+    global _asked
+    _asked = True
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def prepared(make: Callable):
+    """``make()`` at a task's start; what earlier tasks left in the worker goes unless ``make`` asks for it."""
+    global _asked
+    _asked = False
+    work = make()
+    if not _asked:
+        _kept.clear()
+    return work
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches cut so that each part holds about CHUNK_CHARS characters (or one text); null texts come as ''."""
     for batch in batches:
@@ -86,7 +111,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], ad
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = prepared(make)
         for part, texts in slices(batches, text):
             got = work(texts)
             held = got.pop("_rows", None)  # positions kept, where the pass also filters
@@ -121,6 +146,11 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes() -> WordHashes:
+    """The worker's word hashes."""
+    return kept(("word hashes",), WordHashes)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (murmur3's), elementwise."""
     x = x ^ (x >> np.uint64(33))

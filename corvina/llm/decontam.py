@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_texts
+from .common import WordHashes, gram_hashes, map_texts, word_hashes
 
 BLOCK_CHARS = 2_000_000
 K = 5
@@ -123,7 +123,7 @@ def find_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])
 
         def make(sent=sent, b=b):
-            block = Block(sent.value, window, k, WordHashes())
+            block = Block(sent.value, window, k, word_hashes())
 
             def work(texts: list[str]) -> dict:
                 n, hits, found = [], [], []

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_texts, mix, written
+from .common import WordHashes, gram_hashes, map_texts, mix, word_hashes, written
 
 EMPTY = np.iinfo(np.uint64).max
 U = np.uint64
@@ -80,7 +80,7 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def make():
-        hashes = WordHashes()
+        hashes = word_hashes()
 
         def work(texts: list[str]) -> dict:
             sets = [shingle_set(t, k, hashes) for t in texts]
@@ -100,7 +100,7 @@ def shingles(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, grams) of each text."""
 
     def make():
-        hashes = WordHashes()
+        hashes = word_hashes()
 
         def work(texts: list[str]) -> dict:
             sets = [shingle_set(t, k, hashes).view(np.int64) for t in texts]

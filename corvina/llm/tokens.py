@@ -15,7 +15,6 @@ Null and empty texts give one id, the end id. An empty table gives no shard.
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, table_path
+from .common import bounded_batches, kept, slices, table_path
 
 MAGIC = b"CVT1"
 HEAD = struct.Struct("<4sBBxxIQII")  # magic, planes kind, planes, docs, ids, chunks, doc table bytes
@@ -123,10 +122,9 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
     """A Python worker's encoder: tasks that follow one another in it find the words of earlier ones."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
