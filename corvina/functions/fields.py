@@ -31,7 +31,7 @@ IDENTIFIER_TITLE = r"(?iU)^\s*(?:(?:https?://)?(?:dx\.)?doi\.org/\S+|doi:\s*\S+|
 
 #: Which instalment of a series a title names.
 PERIOD_MARKER = (
-    r"(?i)\b(?:first|second|third|fourth|1st|2nd|3rd|4th)\s+quarter\b|\bq[1-4]\b"
+    r"(?iU)\b(?:first|second|third|fourth|1st|2nd|3rd|4th)\s+quarter\b|\bq[1-4]\b"
     r"|\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\b"
     r"|\b(?:spring|summer|autumn|fall|winter)\b"
     r"|\b(?:part|vol|volume|no|number|issue|wave|round|edition|ed)\.?\s*(?:[ivxlcdm]+|\d+)\b"
@@ -39,7 +39,7 @@ PERIOD_MARKER = (
     r"|\b(?:19|20)\d{2}\s+(?:edition|report|update|survey|review|yearbook)\b"
 )
 
-CONFERENCE = r"(?i)\bconference\b|\bsuppl(?:ement)?\b|\babstracts?\b|\bmeeting\b|\bproceedings\b|\bcongress\b|\bsymposium\b|\bannual (?:scientific )?session"
+CONFERENCE = r"(?iU)\bconference\b|\bsuppl(?:ement)?\b|\babstracts?\b|\bmeeting\b|\bproceedings\b|\bcongress\b|\bsymposium\b|\bannual (?:scientific )?session"
 
 PREPRINT = r"(?i)preprint|arxiv|biorxiv|medrxiv|ssrn|research square"
 
@@ -189,7 +189,7 @@ def reference_key(entry: Column) -> Column:
 
 
 def split_references(cell: Column | str) -> Column:
-    return F.filter(F.transform(F.split(text(cell), ";", -1), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(cell), ";", -1), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def id_keys() -> Column:
@@ -228,11 +228,19 @@ def rebuilt_abstract(inverted: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(last, lambda e: e["word"]), " "), F.lit(""))
 
 
+#: Parts of a cell that say "open", and words it starts with for "closed".
+OPEN = ["yes", "true", "gold", "green", "hybrid", "bronze", "all open", "open access", "doaj", "1"]
+CLOSED = ["no", "false", "0", "closed", "subscription", "none"]
+
+
 def open_access(cell: Column | str) -> Column:
-    """True, false or null of a vendor's cell; words for "open" are tried first."""
-    value = F.lower(F.btrim(text(cell)))
-    yes = value.rlike(r"open access|gold|green|hybrid|bronze") | value.isin("true", "yes", "y", "1", "all open access")
-    no = value.isin("false", "no", "n", "0", "closed", "closed access")
+    """True, false or null of a vendor's cell; what says "open" is tried first."""
+    value = F.lower(squeeze(text(cell)))
+    yes, no = F.lit(False), F.lit(False)
+    for t in OPEN:
+        yes = yes | value.contains(t)
+    for t in CLOSED:
+        no = no | value.startswith(t)
     return F.when(yes, True).when(no, False)
 
 
@@ -242,6 +250,6 @@ def safe_cell(col: Column) -> Column:
 
 
 def split_pages(col: Column) -> tuple[Column, Column]:
-    parts = F.transform(F.split(F.btrim(col), "-", -1), F.btrim)
+    parts = F.transform(F.split(F.btrim(col), "-", -1), lambda x: F.btrim(x))
     range_ = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & (F.get(parts, F.lit(1)) != "")
     return F.when(range_, F.get(parts, F.lit(0))).otherwise(F.btrim(col)), F.when(range_, F.get(parts, F.lit(1))).otherwise("")
