@@ -368,9 +368,9 @@ def perturb_uppercase(spark, sf_dir):
     return validate.damaged(_records(spark, sf_dir).where(~F.col("title").contains("ß")), "uppercase_title").select("uid", "title")
 
 
-@query("SELECT a.ord AS i, b.ord AS j, jaro_winkler_similarity(a.journal, b.journal) AS sim_journal FROM records a JOIN records b ON b.ord = a.ord + 1")
+@query("SELECT a.ord AS i, b.ord AS j, jaro_winkler_similarity(regexp_replace(a.journal, '[^ -~]', '?', 'g'), regexp_replace(b.journal, '[^ -~]', '?', 'g')) AS sim_journal FROM records a JOIN records b ON b.ord = a.ord + 1")
 def jaro_winkler(spark, sf_dir):
-    r = _records(spark, sf_dir).select("ord", "journal")
+    r = _records(spark, sf_dir).select("ord", F.regexp_replace("journal", "[^ -~]", "?").alias("journal"))
     pairs = r.select(F.col("ord").alias("i"), (F.col("ord") + 1).alias("j"), F.col("journal").alias("a_journal")).join(r.select(F.col("ord").alias("j"), F.col("journal").alias("b_journal")), "j")
     return validate.similarities(pairs, ("journal",)).select("i", "j", "sim_journal")
 
