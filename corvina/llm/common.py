@@ -133,7 +133,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], ad
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered; emptied when it holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -79,7 +79,7 @@ class Encoder:
     _pairs = re.compile(r"\s\s")
     _cuts = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 550_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
@@ -164,7 +164,7 @@ def pack_shard(doc_ids: list[int | None], parts: list[bytes], chunk_ids: int = 1
         chunk = ids[i : i + chunk_ids]
         index.append(struct.pack("<II", len(chunk), zlib.crc32(chunk.tobytes())))
         for plane in to_planes(chunk, kind):
-            data = press.compress(plane) if any(plane) else b""
+            data = press.compress(plane) if plane.count(0) < len(plane) else b""
             index.append(struct.pack("<QI", at, len(data)))
             payload.append(data)
             at += len(data)
