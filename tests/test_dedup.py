@@ -168,5 +168,53 @@ def test_merge(spark):
 
 def test_pairwise_and_empty(spark):
     rows = made(5, 30)
-    assert dedup.deduplicate(frame(spark, rows), mode="pairwise").records.count() <= 30
+    plain = dedup.deduplicate(frame(spark, rows), mode="pairwise", fuzzy_threshold=2.0, round_title_min=2.0)
+    replayed = dedup.deduplicate(frame(spark, rows), fuzzy_threshold=2.0, round_title_min=2.0)
+    assert sorted(map(tuple, plain.clusters.collect())) == sorted(map(tuple, replayed.clusters.collect()))
+    assert dedup.deduplicate(frame(spark, rows), mode="pairwise").records.count() <= plain.records.count() <= 30
     assert dedup.deduplicate(frame(spark, []).limit(0)).records.count() == 0
+
+
+def plain_fold(members):
+    """The documented merge, member by member. ``members``: rows in order, the first one survives."""
+    from corvina.schema import LISTS
+
+    out = {k: list(v) if isinstance(v, list) else v for k, v in members[0].items()}
+    if len(members) > 2:
+        for c in dedup.CONSENSUS:
+            values = [m[c] for m in members if m[c]]
+            if len(set(values)) > 1:
+                out[c] = min(set(values), key=lambda v: (-values.count(v), values.index(v)))
+    for m in members[1:]:
+        if len(m["abstract"]) > len(out["abstract"]):
+            out["abstract"] = m["abstract"]
+        for c in ("keywords", "affiliations"):
+            seen = {x.lower() for x in out[c]}
+            out[c] += [x for x in m[c] if x.lower() not in seen]
+        for x in m["references"]:
+            if x and x.lower() not in {y.lower() for y in out["references"]}:
+                out["references"].append(x)
+        if m["cited_by"] is not None:
+            out["cited_by"] = max(out["cited_by"] or 0, m["cited_by"])
+        for c, v in m.items():
+            if c not in (*LISTS, "cited_by", "ord", "uid", "source") and out[c] in ("", None) and v not in ("", None):
+                out[c] = v
+    return out
+
+
+def test_merge_equals_fold(spark):
+    rng = random.Random(4)
+    names = ["ord", "uid", "source", "title", "abstract", "journal", "volume", "doc_type", "year", "cited_by", "keywords", "affiliations", "references"]
+    ddl = "ord long, uid string, source string, title string, abstract string, journal string, volume string, doc_type string, year int, cited_by int, keywords array<string>, affiliations array<string>, `references` array<string>"
+    some = lambda *xs: rng.sample(xs, rng.randint(0, len(xs)))
+    rows = [dict(zip(names, (i, f"R{i}", rng.choice("AB"), rng.choice(["", "T"]), "w" * rng.randint(0, 9), rng.choice(["", "X", "Y"]), rng.choice(["", "1", "2"]), rng.choice(["", "article"]), rng.choice([None, 2000, 2001]), rng.choice([None, 1, 5]), some("a", "A", "b", "a"), some("U", "u", "V"), some("r", "R", "s", "")))) for i in range(60)]
+    cluster = {i: i if i < 12 else rng.randrange(12) for i in range(60)}
+    records = conform(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ddl))
+    ranks = {r["ord"]: r["rich"] for r in records.select("ord", __import__("corvina.functions.fields", fromlist=["richness"]).richness().alias("rich")).collect()}
+    got = {r["ord"]: r for r in dedup.merge_clusters(records, spark.createDataFrame(list(cluster.items()), "ord long, cluster long")).collect()}
+    assert sorted(got) == list(range(12))
+    for c in range(12):
+        members = [rows[c]] + sorted((rows[i] for i in range(12, 60) if cluster[i] == c), key=lambda r: (-ranks[r["ord"]], r["ord"]))
+        want = plain_fold(members) | {"issue": ""}
+        for n in names:
+            assert got[c][n] == want[n], (c, n, got[c][n], want[n])
