@@ -42,12 +42,20 @@ LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MARKS = ".,;:!?%&#*$|()\"-"
 
 
+SEEN = 1 << 21
+
+
 class Parts(dict):
-    """A part of a text -> the ids' bytes of ``prefix`` and it, found on first use; two generations of ``most`` parts at most."""
+    """A part of a text -> the ids' bytes of ``prefix`` and it.
+
+    A part is kept from its second use on, as most parts of a corpus occur once: ``seen`` has a byte for each hash of a
+    part. At most two generations of ``most`` parts are kept.
+    """
 
     def __init__(self, encoder: Encoder, prefix: str, most: int):
         super().__init__()
         self.encoder, self.prefix, self.most, self.old = encoder, prefix, most, {}
+        self.seen = bytearray(SEEN)
 
     def __missing__(self, part: str) -> bytes:
         got = self.old.get(part)
@@ -59,10 +67,14 @@ class Parts(dict):
                 got = self[core] + self.encoder.tails[part[len(core) :]]
             else:
                 got = self.encoder.letters(self.prefix + part)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(part) <= 64:
+        at = hash(part) & (SEEN - 1)
+        if not self.seen[at]:
+            self.seen[at] = 1
+        elif len(part) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+                self.seen = bytearray(SEEN)
             self[part] = got
         return got
 
@@ -79,7 +91,7 @@ class Encoder:
     _pairs = re.compile(r"\s\s")
     _cuts = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, most: int = 550_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
