@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions.text import column, normalize_title, surname
-from .identity import _saver
+from ..tables import written
 
 # --- fixed values
 
@@ -118,7 +118,7 @@ def bibtex_frame(records: DataFrame) -> DataFrame:
 
     first = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
     name = F.regexp_replace(column(surname, first), "[^a-z]", "")
-    keyed = _saver(records.sparkSession)(records.withColumn("_base", F.concat(F.when(name == "", "anon").otherwise(name), _year())))
+    keyed = written(records.withColumn("_base", F.concat(F.when(name == "", "anon").otherwise(name), _year())))
     # the place among equal keys: counts per block of ord, so that a very common key is no single task
     block = keyed.withColumn("_block", F.floor(F.col("ord") / 10_000))
     sizes = block.groupBy("_base", "_block").count()

@@ -312,7 +312,6 @@ def sort_records(spark, sf_dir):
     from ..schema import numbered
 
     r = _records(spark, sf_dir).withColumns({"given": F.col("ord"), "t": column(normalize_title, "title"), "y": F.coalesce("year", F.lit(-1))})
-    identity._saver(spark)
     return numbered(r, "doi", "t", "y", "source", "source_id", "given").select(F.col("given").alias("ord"), (F.col("ord") + 1).alias("place"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import written
+
 STRINGS = ("title", "abstract", "journal", "doi", "pmid", "openalex_id", "scopus_id", "issn", "volume", "issue", "pages", "doc_type", "language", "url")
 LISTS = ("authors", "keywords", "affiliations", "references")
 _S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
@@ -50,9 +52,8 @@ def append(corpus: DataFrame, added: DataFrame, event: dict[str, str], first_ord
 
 def numbered(records: DataFrame, *order: str) -> DataFrame:
     """``ord`` from an order, without putting all rows into one task: counts of range partitions, then places in them."""
-    spark = records.sparkSession
     ranged = records.drop("ord").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = written(ranged, "numbered")
     counts = ranged.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"), F.lit(1).alias("_one"))
