@@ -258,3 +258,20 @@ def flow_svg(row) -> str:
         if i + 1 < len(boxes):
             parts.append(f'<path d="M130 {y + 60}V{y + 100}" stroke="black"/>')
     return "".join([*parts, "</svg>"])
+
+
+def search_appendix(searches: DataFrame, queries: dict[str, str] | None = None) -> str:
+    """The log of searches as Markdown: each search with its database, platform, query, limits, date and count."""
+    rows = searches.orderBy("ord").collect()  # a row for each search that a person ran
+    have = set(searches.columns)
+    parts = ["## Searches", ""]
+    for n, r in enumerate(rows, 1):
+        parts.append(f"### {n}. {r['database'] or 'unnamed source'}")
+        for label, c in (("Platform", "platform"), ("Interface", "interface"), ("Query", "query"), ("Limits", "filters"), ("Date", "date_run"), ("Address", "url"), ("Notes", "notes"), ("Records", "records_retrieved")):
+            value = r[c] if c in have else None
+            if value not in (None, ""):
+                parts.append(f"- {label}: {value}")
+        parts.append("")
+    for name, text in (queries or {}).items():
+        parts += [f"### Query for {name}", "", "```", str(text), "```", ""]
+    return "\n".join(parts)

@@ -177,3 +177,24 @@ def test_audit(spark):
     assert set(audit) == {"Scopus", "ProQuest ABI/INFORM", "Semantic Scholar", "(unnamed source)", "bioRxiv", "Cochrane CENTRAL"}
     assert audit["Scopus"]["names_seen"] == ["Elsevier Scopus", "scopus"] and audit["bioRxiv"]["tier"] == "supplementary"
     assert {c for _, c in reports.audit_warnings(reports.source_audit(searches))} == {"unclassified_source", "tier_provenance"}
+
+
+def test_comparison_rule(spark):
+    from corvina.operators import validate
+
+    base = {"title": "The effect of sleep on memory", "abstract": "We studied sleep.", "author": "Nowak, A", "journal": "J One", "isbn": "", "pages": "1-9", "volume": "3", "number": "1", "doi": ""}
+    others = [({}, 2001), ({"title": "Another thing altogether"}, 2001), ({}, 2005), ({"abstract": "", "pages": "50-60", "volume": "9", "number": "7"}, 2001), ({"doi": "10.1000/b"}, 2000)]
+    names = list(base)
+    rows = [(i, *[base[n] for n in names], *[(base | o)[n] for n in names], 2000, y) for i, (o, y) in enumerate(others)]
+    ddl = "i long, " + ", ".join(f"a_{n} string" for n in names) + ", " + ", ".join(f"b_{n} string" for n in names) + ", a_year int, b_year int"
+    scored = validate.nine_scores(spark.createDataFrame(rows, ddl))
+    got = {r["i"]: (r["t"], r["m"]) for r in scored.select("i", validate.true_pair().alias("t"), validate.maybe_pair().alias("m")).collect()}
+    assert got == {0: (True, True), 1: (False, False), 2: (False, False), 3: (False, True), 4: (True, True)}
+
+
+def test_search_appendix(spark):
+    from corvina.operators import reports
+
+    searches = spark.createDataFrame([(1, "PubMed", "x[ti]", 7), (0, "Scopus", "TITLE(x)", 9)], "ord long, database string, query string, records_retrieved long")
+    text = reports.search_appendix(searches, {"wos": "TS=(x)"})
+    assert text.index("1. Scopus") < text.index("2. PubMed") and "- Records: 9" in text and "TS=(x)" in text
