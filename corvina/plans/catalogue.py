@@ -9,6 +9,7 @@ from ..functions import fields
 from ..functions.text import column, normalize_title, surname
 from ..operators import blocking, dedup, export, harvest, identity, match, reports, search, validate
 from ..schema import RECORDS_SQL, from_documents
+from ..tables import written
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +148,10 @@ def candidate_pairs(spark, sf_dir):
 
 @query()
 def pair_guards(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    pairs = blocking.round_pairs(blocking.with_norms(r)).withColumn("via_round", F.lit(True))
-    return match.pair_guards(pairs, match.facts(r), match.Options()).select("i", "j", "length_ok", "years_ok", "conflict", "separated_by", "conference")
+    # normalised once, as in deduplication; candidates read it several times
+    r = blocking.with_norms(_records(spark, sf_dir)).withColumn("rich", fields.richness())
+    r = written(r.select("ord", "title", "authors", "year", "pages", "volume", "journal", *match.IDS, "norm_title", "norm_journal", "author_key", "rich"))
+    return match.pair_guards(blocking.candidates(r), match.facts(r), match.Options()).select("i", "j", "length_ok", "years_ok", "conflict", "separated_by", "conference")
 
 
 @query()
