@@ -382,7 +382,7 @@ def comparison_rule(spark, sf_dir):
     author = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
     values = {"title": F.col("title"), "abstract": F.col("abstract"), "author": author, "journal": F.col("journal"), "isbn": F.lit(""), "pages": F.col("pages"), "volume": F.col("volume"), "number": F.col("issue"), "doi": F.col("doi"), "year": F.col("year")}
     side = lambda p, n: r.select(F.col("ord").alias(n), *[v.alias(f"{p}_{c}") for c, v in values.items()])
-    pairs = blocking.round_pairs(blocking.with_norms(r)).join(side("a", "i"), "i").join(side("b", "j"), "j")
+    pairs = blocking.round_pairs(blocking.with_norms(r), blocking.COMPARISON_BLOCK).join(side("a", "i"), "i").join(side("b", "j"), "j")
     return validate.nine_scores(pairs).select("i", "j", validate.true_pair().alias("true_pair"), validate.maybe_pair().alias("maybe_pair"))
 
 

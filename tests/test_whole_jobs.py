@@ -58,3 +58,13 @@ def test_pair_guards_cover_all_candidates(spark):
     got = {(x[0], x[1]): tuple(x[2:]) for x in catalogue.pair_guards(spark, SF).collect()}
     assert got == guards
     assert not all(want.values())
+
+
+def test_comparison_rule_has_its_own_limit(spark, tmp_path):
+    words = "one title of twelve words that many copies of a record share Nowak K and more text".split()
+    rows = [(n, " ".join(words), "en", "A") for n in range(30)]
+    rows += [(100 + n, " ".join(["other", *words]), "en", "A") for n in range(401)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    known, raw = facts_and_rows(spark, catalogue._records(spark, str(tmp_path)))
+    got = {(x["i"], x["j"]) for x in catalogue.comparison_rule(spark, str(tmp_path)).collect()}
+    assert got == keyed_pairs(known, raw, 400) == set(combinations(range(30), 2))
