@@ -32,8 +32,10 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
-ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----\s{1,4}([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: Line ends may be escaped, and slashes too, as in JSON.
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]|\\+[nr/])++)-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+ESCAPES = re.compile(r"\\+[nr]|\\+(?=/)|\s+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -110,6 +112,21 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def key_starts(run: str) -> list[int]:
+    """Where in a base64 run a key may start: at its start, and after a slash (of a path) if its first bytes say so."""
+    out, n, at = [0], len(run.rstrip("=")), run.find("/")
+    while at >= 0:
+        at += 1
+        if run.startswith("b3BlbnNzaC1rZXktdjEA", at):
+            out.append(at)
+        elif run.startswith("M", at) and (head := unbase64(run[at : at + 8])) and len(head) == 6 and head[0] == SEQUENCE:
+            size = max(head[1] - 128, 0)
+            if size <= 4 and (int.from_bytes(head[2 : 2 + size], "big") if size else head[1]) + 2 + size == (n - at) * 3 // 4:
+                out.append(at)
+        at = run.find("/", at)
+    return out
+
+
 def is_signed_token(text: str) -> bool:
     parts = text.split(".")
     try:
@@ -124,7 +141,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(text):
-            data = unbase64("".join(m[1].split()))
+            data = unbase64(ESCAPES.sub("", m[1]))
             if data and is_private_key(data):
                 out.append(("key", *m.span()))
     if not long_run(text, 32):
@@ -132,9 +149,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     within = [(s, e) for _, s, e in out]
     for m in BASE64.finditer(text):
         if not any(s <= m.start() < e for s, e in within):
-            data = unbase64(m[0])
-            if data and is_private_key(data):
-                out.append(("key", *m.span()))
+            for at in key_starts(m[0]):
+                data = unbase64(m[0][at:])
+                if data and is_private_key(data):
+                    out.append(("key", m.start() + at, m.end()))
+                    break
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             out.append(("key", *m.span()))
