@@ -369,6 +369,12 @@ def perturb_uppercase(spark, sf_dir):
     return validate.damaged(_records(spark, sf_dir).where(~F.col("title").contains("ß")), "uppercase_title").select("uid", "title")
 
 
+@query()
+def perturb_uppercase_all(spark, sf_dir):
+    """All titles; the SQL of perturb_uppercase leaves out those with ß."""
+    return validate.damaged(_records(spark, sf_dir), "uppercase_title").select("uid", "title")
+
+
 @query("SELECT a.ord AS i, b.ord AS j, jaro_winkler_similarity(regexp_replace(a.journal, '[^ -~]', '?', 'g'), regexp_replace(b.journal, '[^ -~]', '?', 'g')) AS sim_journal FROM records a JOIN records b ON b.ord = a.ord + 1")
 def jaro_winkler(spark, sf_dir):
     r = _records(spark, sf_dir).select("ord", F.regexp_replace("journal", "[^ -~]", "?").alias("journal"))

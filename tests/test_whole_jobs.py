@@ -68,3 +68,10 @@ def test_comparison_rule_has_its_own_limit(spark, tmp_path):
     known, raw = facts_and_rows(spark, catalogue._records(spark, str(tmp_path)))
     got = {(x["i"], x["j"]) for x in catalogue.comparison_rule(spark, str(tmp_path)).collect()}
     assert got == keyed_pairs(known, raw, 400) == set(combinations(range(30), 2))
+
+
+def test_uppercase_takes_every_title(spark):
+    titles = {r["uid"]: r["title"] for r in catalogue._records(spark, SF).select("uid", "title").collect()}
+    want = {u: t.upper() for u, t in titles.items() if t and t != t.upper()}
+    assert any("ß" in titles[u] for u in want)
+    assert dict(map(tuple, catalogue.perturb_uppercase_all(spark, SF).collect())) == want
