@@ -75,3 +75,25 @@ def test_uppercase_takes_every_title(spark):
     want = {u: t.upper() for u, t in titles.items() if t and t != t.upper()}
     assert any("ß" in titles[u] for u in want)
     assert dict(map(tuple, catalogue.perturb_uppercase_all(spark, SF).collect())) == want
+
+
+def table_of(spark, tmp_path, firsts):
+    """Documents whose first author is each of ``firsts``, with a comma and an initial after it."""
+    rows = [(n, " ".join([*"=one two three four five six seven eight nine ten eleven twelve thirteen".split(), a, "Xyz"]), "en", "A") for n, a in enumerate(firsts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_screening_holds_every_record(spark, tmp_path):
+    sf = table_of(spark, tmp_path, ["=cmd", "+Nowak", "-Doe", "@Smith", "Kowalski"])
+    for folder in (sf, SF):
+        safe = lambda s: "'" + s if s.startswith(("=", "+", "-", "@", "\t", "\r")) else s
+        want = [(r["ord"], safe(r["uid"]), safe(r["title"]), safe(r["abstract"]), safe("; ".join(r["authors"])), str(r["year"] or ""), r["doi"]) for r in catalogue._records(spark, folder).collect()]
+        got = [tuple(r) for r in catalogue.export_screening_all(spark, folder).collect()]
+        assert sorted(got) == sorted(want)
+    assert {r["authors"] for r in catalogue.export_screening_all(spark, sf).collect()} == {"'=cmd, X", "'+Nowak, X", "'-Doe, X", "'@Smith, X", "Kowalski, X"}
+
+
+def test_surnames_hold_every_record(spark, tmp_path):
+    sf = table_of(spark, tmp_path, [",Nowak", ",", "Doe"])
+    assert sorted(map(tuple, catalogue.surnames(spark, sf).collect())) == [("R000001", ""), ("R000002", ""), ("R000003", "doe")]
