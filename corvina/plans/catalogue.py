@@ -417,6 +417,12 @@ def export_ris(spark, sf_dir):
     return _records(spark, sf_dir).withColumn("abstract", F.lit("")).select("ord", export.ris_text().alias("text"))
 
 
+@query()
+def export_ris_full(spark, sf_dir):
+    """With abstracts, which the SQL of export_ris leaves out."""
+    return _records(spark, sf_dir).select("ord", export.ris_text().alias("text"))
+
+
 @query()
 def export_bibtex(spark, sf_dir):
     return export.bibtex_frame(_records(spark, sf_dir))

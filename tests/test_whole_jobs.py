@@ -97,3 +97,19 @@ def test_screening_holds_every_record(spark, tmp_path):
 def test_surnames_hold_every_record(spark, tmp_path):
     sf = table_of(spark, tmp_path, [",Nowak", ",", "Doe"])
     assert sorted(map(tuple, catalogue.surnames(spark, sf).collect())) == [("R000001", ""), ("R000002", ""), ("R000003", "doe")]
+
+
+def test_ris_has_abstracts(spark):
+    def stanza(r):
+        types = {"article": "JOUR", "review": "JOUR"}
+        lines = [("TY", types.get(r["doc_type"], "JOUR")), *[("AU", a) for a in r["authors"]]]
+        lines += [(t, v) for t, v in (("TI", r["title"]), ("AB", r["abstract"]), ("PY", str(r["year"] or "")), ("T2", r["journal"]), ("DO", r["doi"]), ("SN", r["issn"]), ("VL", r["volume"]), ("IS", r["issue"])) if v]
+        if r["pages"]:
+            lines += [("SP", r["pages"].split("-")[0]), *[("EP", r["pages"].split("-")[-1])] * ("-" in r["pages"])]
+        lines += [("KW", k) for k in r["keywords"]]
+        lines += [(t, v) for t, v in (("UR", r["url"]), ("LA", r["language"]), ("ID", r["uid"])) if v]
+        return "".join(f"{t}  - {v}\n" for t, v in lines) + "ER  - \n"
+
+    rows = catalogue._records(spark, SF).collect()
+    assert any("\n" in r["abstract"] for r in rows) and max(len(r["abstract"]) for r in rows) > 10_000
+    assert dict(map(tuple, catalogue.export_ris_full(spark, SF).collect())) == {r["ord"]: stanza(r) for r in rows}
