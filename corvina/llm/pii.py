@@ -336,12 +336,17 @@ def train(docs: DataFrame, sample_rows: int = 400, chars: int = 2000, windows: i
 
 
 def placed_windows(text: str) -> list[tuple[int, int]]:
-    """(start, end of its region) of each window; regions are the surroundings of digits and at signs."""
+    """(start, end of its region) of each window; regions are the surroundings of digits and at signs, and cut no run of
+    mail characters."""
     out, last = [], 0
     for m in CUES.finditer(text):
         start, end = max(last, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if end <= last:
             continue
+        while last < start and text[start] in LOCAL and text[start - 1] in LOCAL:
+            start -= 1
+        while end < len(text) and text[end - 1] in LOCAL and text[end] in LOCAL:
+            end += 1
         at = start
         while True:
             out.append((at, end))
