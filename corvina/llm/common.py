@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,11 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="corvina-")
+        warnings.warn(f"spark.checkpoint.dir is unset; tables between steps go to {found}, which only one machine sees", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -43,19 +45,39 @@ def _delete(spark: SparkSession, path: str) -> None:
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/corvina-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    return stored(spark, df, name, **options)[0]
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``written`` with the table's path, for steps that delete a table once the next one is there."""
     path = table_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def carried(keep: list[str], added: list[str]) -> dict[str, str]:
+    """The names under which columns are carried beside ``added`` ones: their own, or with "_given" behind where an added
+    column has the name already (Spark tells names apart without case)."""
+    taken, out = {a.lower() for a in added} | {k.lower() for k in keep}, {}
+    for name in dict.fromkeys(keep):
+        new = name
+        if name.lower() in {a.lower() for a in added}:
+            while new.lower() in taken:
+                new += "_given"
+            taken.add(new.lower())
+        out[name] = new
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches to BATCH_ROWS rows unless the session already asks for fewer."""
+    """Keeps Arrow batches to BATCH_ROWS rows unless the session already asks for fewer. The setting stays: Spark reads
+    it when the plan runs, which is after the operator has returned."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -101,13 +123,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], added: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """One Arrow pass: ``make()`` runs once a task and gives a function from texts to the ``added`` columns (DDL).
 
-    ``keep`` names the columns carried through unchanged (default: all). No shuffle, row by row, so a lost
-    task is simply run again.
+    ``keep`` names the columns carried through unchanged (default: all); one whose name an added column has is carried
+    as ``<name>_given``. No shuffle, row by row, so a lost task is simply run again.
     """
     bounded_batches(df.sparkSession)
-    keep = df.columns if keep is None else keep
     new = T._parse_datatype_string(added)
-    schema = T.StructType([df.schema[c] for c in keep] + list(new.fields))
+    names = carried(df.columns if keep is None else keep, [f.name for f in new.fields])
+    keep = list(names)
+    schema = T.StructType([T.StructField(names[c], df.schema[c].dataType) for c in keep] + list(new.fields))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +141,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], ad
             arrays = []
             for i, field in enumerate(arrow):
                 if i < len(keep):
-                    col = part.column(part.schema.get_field_index(field.name))
+                    col = part.column(part.schema.get_field_index(keep[i]))
                     if held is not None:
                         col = col.take(pa.array(held, pa.int64()))
                     arrays.append(col if col.type == field.type else col.cast(field.type))

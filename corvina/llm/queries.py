@@ -49,7 +49,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = decontam.find_hits(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=10)
+    found = decontam.find_hits(spark, docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=10, keep=["doc_id"])
     return found.select("doc_id", "n_words", decontam.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 

@@ -49,7 +49,8 @@ def test_equals_brute_force(spark, odd, prose, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((d, n, h, tuple(f)) for d, (n, h, f) in ((d, plain_hits(t, items)) for d, t in [*ODD, *rows]))
     assert rows_of(decontam.find_hits(spark, docs, benchmark)) == want
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 500)  # many blocks
+    for name, value in (("MOST_BITS", 6), ("SALTS", 3)):  # a bit table that lets nearly everything through
+        monkeypatch.setattr(decontam, name, value)
     assert rows_of(decontam.find_hits(spark, docs, benchmark)) == want
     assert rows_of(decontam.find_hits(spark, docs, benchmark.limit(0))) == Counter((d, n, 0, ()) for d, n, _, _ in want.elements())
     left = decontam.clean(spark, docs, benchmark)
@@ -58,13 +59,27 @@ def test_equals_brute_force(spark, odd, prose, monkeypatch):
 
 
 def test_winnowing_guarantee():
+    """Equal windows have equal fingerprints, each the least hash in its window, kept once for neighbours that share it."""
     rng = np.random.default_rng(3)
     for _ in range(200):
-        g = rng.integers(0, 4, rng.integers(1, 40), dtype=np.uint64)  # many ties
-        at = set(decontam.winnowed(g, 6).tolist())
-        for i in range(len(g) - 5):
-            run = g[i : i + 6]
-            assert i + 5 - int(run[::-1].argmin()) in at
+        h = rng.integers(0, 4, rng.integers(1, 40), dtype=np.uint64)  # many ties
+        grams, prints = decontam.gram_hashes(h, 5), decontam.prints_of(h, 10, 5)
+        assert len(prints) == max(0, len(h) - 9)
+        for i, fp in enumerate(prints.tolist()):
+            assert fp == int(decontam.mix(grams[i : i + 6].min(keepdims=True) + np.uint64(10))[0])
+        first = decontam.kept(prints).tolist()
+        assert first == [i for i in range(len(prints)) if i == 0 or prints[i] != prints[i - 1]]
+
+
+def test_one_pass_whatever_the_benchmark(spark, prose):
+    """The plan has one Arrow pass over the documents, and clashing names are carried beside the added ones."""
+    items = spark.createDataFrame([(i, prose(400, i, 900)) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(50, i, 900), 7, "x") for i in range(40)], "doc_id long, text string, HITS int, n_words string")
+    found = decontam.find_hits(spark, docs, items)
+    assert found.columns == ["doc_id", "text", "HITS_given", "n_words_given", "n_words", "hits", "items"]
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # done once, before the table
+    assert {r["doc_id"] for r in found.where("size(hits) > 0").collect()} == set(range(40))
+    assert {r["HITS_given"] for r in found.collect()} == {7}
 
 
 def test_empty_and_long(spark, empty, long_text):
