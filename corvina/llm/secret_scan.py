@@ -6,8 +6,10 @@ lengths add up exactly and whose members are those of PKCS#1, PKCS#8 or SEC 1, o
 prefixed strings add up; a signed token is three base64url parts whose header and claims are JSON objects and whose
 header names an algorithm. A run that only looks random is not reported.
 
-Spans are kind:start:end in code points, end exclusive, by start, then kind in the order of KINDS, then end. Null texts
-count as empty; empty texts have no spans. Rows are scanned each for itself. All patterns run in linear time.
+Spans are kind:start:end in code points, end exclusive, by start, then kind in the order of KINDS, then end: so spans that
+start together have a fixed order. Null texts count as empty; empty texts have no spans. Rows are scanned each for itself,
+repeated rows and rows that share a doc_id too. A carried column that has the name of an added one comes as
+``<name>_given``. All patterns run in linear time, whatever a text's length.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----((?:[A-Za-z0-9+/
 ESCAPES = re.compile(r"\\+[nr]|\\+(?=/)|\s+")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
 
+#: The fewest characters that BASE64 and ANY_HEX, and that JWT, can match: a text without a run of so many holds none.
+SHORTEST_KEY, SHORTEST_TOKEN = 32, 13
+
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
 
@@ -144,9 +149,11 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             data = unbase64(ESCAPES.sub("", m[1]))
             if data and is_private_key(data):
                 out.append(("key", *m.span()))
-    if not long_run(text, 32):
+    if "." in text and long_run(text, SHORTEST_TOKEN):
+        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    if not long_run(text, SHORTEST_KEY):
         return out
-    within = [(s, e) for _, s, e in out]
+    within = [(s, e) for k, s, e in out if k == "key"]
     for m in BASE64.finditer(text):
         if not any(s <= m.start() < e for s, e in within):
             for at in key_starts(m[0]):
@@ -157,8 +164,6 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
             out.append(("key", *m.span()))
-    if "." in text:
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
     return out
 
 
