@@ -6,8 +6,9 @@ windows of LENGTH bytes (the last filled up with zeros), which run through the n
 is the class with the highest mean log probability over its windows, its score the softmax of those means.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything where no labelled row has text.
-ASCII capitals are lower-cased, nothing else is changed. Rows are judged each for itself. A language with a single
-labelled row is a class like any other.
+ASCII capitals are lower-cased, nothing else is changed. Rows are judged each for itself, repeated rows alike. A language
+with a single labelled row is a class like any other. Of classes with equal scores the first by name is taken. A carried
+column named lang_pred or score comes as ``<name>_given``.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import carried, map_texts
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 BATCH = 512
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and number signs such as those in circles, of which ``has_letter`` tells letters apart.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -53,6 +55,10 @@ class Model:
         return out
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     """Windows x LENGTH, filled up with zeros."""
     n = -(-len(data) // LENGTH)
@@ -163,7 +169,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, keep: lis
     """The ``keep`` columns (doc_id) with lang_pred and score."""
     keep = ["doc_id"] if keep is None else keep
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        names = carried(keep, ["lang_pred", "score"])
+        return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = spark.sparkContext.broadcast(model)
 
     def make():
@@ -171,7 +178,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, keep: lis
         paired = m.paired()
 
         def work(texts: list[str]) -> dict:
-            letters = [bool(LETTER.search(t)) for t in texts]
+            letters = [has_letter(t) for t in texts]
             cut = [windows_of(t.encode("utf-8", "surrogatepass").lower()) for t, ok in zip(texts, letters) if ok]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             if cut:
