@@ -8,7 +8,7 @@ the r-th slot of that length. Ranks come from counts per task and length, never
 that a third of all rests share is no hot spot.
 
 Null and empty texts give one id, the end id, hence a piece of length 1. Rows that share a doc_id are packed each
-for itself. An empty table gives an empty result.
+for itself. An empty table gives an empty result. Other columns than doc_id and text are not carried.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, slices, written
 from .tokens import END, encoder_of
@@ -118,6 +119,43 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[tuple[int,
     return out, sequence
 
 
+class Slots:
+    """The slot table, searched by (length, rank): runs of slots in order of their length and first rank."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int, int]]):
+        table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+        self.length, self.low, _, self.sequence, self.offset = (np.ascontiguousarray(c) for c in table.T)
+        self.first = {int(n): int(i) for n, i in zip(*np.unique(self.length, return_index=True))}
+        self.ends = {n: i + int((self.length == n).sum()) for n, i in self.first.items()}
+
+    def find(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of the slot with each rank among those of its length."""
+        run = np.empty(len(lengths), np.int64)
+        for n in np.unique(lengths).tolist():
+            own = lengths == n
+            run[own] = self.first[n] + np.searchsorted(self.low[self.first[n] : self.ends[n]], ranks[own], side="right") - 1
+        return self.sequence[run] + ranks - self.low[run], self.offset[run]
+
+
+def placed(ranked: DataFrame, table: Slots) -> DataFrame:
+    """``ranked`` (length, r, ...) with sequence_id and offset instead of r: one Arrow pass, a binary search for each
+    piece, so a length with many runs of slots costs no more rows than any other. The table has a row for each pattern
+    and length in it: bounded by the capacity, whatever the number of documents."""
+    sent = ranked.sparkSession.sparkContext.broadcast(table)
+    names = [c for c in ranked.columns if c != "r"]
+    schema = T.StructType([ranked.schema[c] for c in names] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            if batch.num_rows:
+                found = known.find(at["length"].to_numpy(), at["r"].to_numpy())
+                yield pa.RecordBatch.from_arrays([*[at[n] for n in names], *map(pa.array, found)], [*names, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, schema)
+
+
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for) of each piece."""
     pieces = written(spark, cut(docs, tokenizer, capacity, with_ids), "pieces")
@@ -126,9 +164,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 1
     bases = bases.select("length", "part", F.coalesce("base", F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table, _ = slots(shortest_pack_first(histogram, capacity))
-    table = table or [(0, 0, 0, 0, 0)]
-    runs = spark.createDataFrame(table, "length long, low long, high long, sequence long, offset long")
     ranked = pieces.join(bases, ["length", "part"]).withColumn("r", F.col("rank") + F.col("base"))
-    # the slot table has a row for each pattern and length: bounded by capacity, whatever the number of documents
-    placed = ranked.join(F.broadcast(runs), "length").where("r between low and high")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("r") - F.col("low")).alias("sequence_id"), "offset", *["ids"] * with_ids)
+    out = placed(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "r"), Slots(table))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
