@@ -4,14 +4,16 @@ The network is trained in numpy on the driver from labelled spans: windows of a
 (``sample_rows``) labelled by the base patterns' shapes, and the same texts with spans written into them in the forms
 that the base patterns know and in others (grouped national numbers, dotted or defanged addresses, spaced mail
 addresses), beside dates, versions, prices and codes that are none. It labels windows of LENGTH characters that overlap
-by half. Every kind of span holds a digit or an at sign, so windows lie wherever one is near; all other places are
-labelled "none" without running the network. Overlapping windows are reconciled over the whole text: each character
+by half. Every kind of span holds a digit, an at sign, or an "at" spelled in brackets or with a spelled "dot" behind it, so
+windows lie wherever one of these is near; all other places are "none" without running the network, as no span could be
+proved there. Overlapping windows are reconciled over the whole text: each character
 takes the label of the window in whose middle it lies most, and spans are read from the joined labels, across window
 bounds. A span counts if an exact check of its kind holds (digits, Luhn sum, parts at most 255, the mail pattern
 without blanks and brackets), it stands free of letters and digits, and it overlaps no base span.
 
-Spans are kind:start:end in code points, end exclusive, by start, then kind in the order of KINDS. Null texts count as
-empty and have no spans. Rows are judged each for itself. All base patterns run in linear time.
+Spans are kind:start:end in code points, end exclusive, by start, then kind in the order of KINDS, then end. Null texts
+count as empty and have no spans. Rows are judged each for itself, repeated rows and rows that share a doc_id too. A
+carried column that has the name of an added one comes as ``<name>_given``. All base patterns run in linear time.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-CUES = re.compile(r"[0-9@](?:.{0,23}[0-9@])*+", re.DOTALL)
+#: What every kind of span holds: a digit, an at sign, or a spelled "at" in brackets or before a spelled "dot".
+CUES = re.compile(r"(?:[0-9@]|[\[(]\s?at\s?[\])]|\sat\s+[A-Za-z0-9-]{1,40}\s+dot\s)(?:.{0,23}[0-9@])*+", re.DOTALL)
 CUE = re.compile(r"[0-9@]")
+#: Spelled marks of a mail address.
+SPELLED_AT = re.compile(r"\s*[\[(]\s?(?:at|@)\s?[\])]\s*|\s+at\s+")
+SPELLED_DOT = re.compile(r"\s*[\[(]\s?(?:dot|\.)\s?[\])]\s*|\s+dot\s+")
 
 
 def luhn(digits: str) -> bool:
@@ -50,6 +56,10 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def with_luhn(digits: str) -> str:
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
 def only_digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -265,13 +275,14 @@ def written_spans(rng: np.random.Generator) -> tuple[str, str]:
     what = rng.integers(0, 10)
     if what == 0:
         name, host = pick(word(), f"{word()}.{word()}", f"{word()}{d(2)}"), f"{word()}{pick('', d(1))}.{pick('', 'example.')}{pick('com', 'net', 'org', 'de')}"
-        return "email", pick(f"{name}@{host}", f"{name} @ {host}", f"{name}[@]{host}", f"{name}@ {host}", f"{name} @{host}")
+        spelled = host.replace(".", " dot ")
+        return "email", pick(f"{name}@{host}", f"{name} @ {host}", f"{name}[@]{host}", f"{name}@ {host}", f"{name} @{host}", f"{name} at {spelled}", f"{name} [at] {host}", f"{name}(at){host}", f"{name} (at) {spelled}", f"{name}[at]{host.replace('.', '[dot]')}")
     if what in (1, 2):
         parts = [str(x) for x in rng.integers(0, 256, 4)]
         return "ip", pick(".", ".", "[.]", " . ", "(.)").join(parts)
     if what in (3, 4):
         n = pick(16, 16, 15)
-        number = d(n)
+        number = with_luhn(d(n - 1))
         groups = [number[i : i + 4] for i in range(0, n, 4)]
         return "card", pick(number, " ".join(groups), "-".join(groups), ".".join(groups), "/".join(groups), "  ".join(groups), "_".join(groups))
     if what in (5, 6):
@@ -291,7 +302,7 @@ def labelled(carriers: list[str], windows: int, seed: int = 11) -> tuple[np.ndar
         if k % 4 == 0 and (cues := list(CUE.finditer(text))):
             middle = cues[int(rng.integers(0, len(cues)))].start()
             start = max(0, middle - int(rng.integers(0, LENGTH)))
-            spans = shapes(text)
+            spans = base_spans(text)
         else:
             words = text[(at := int(rng.integers(0, len(text)))) : at + 200].split() or [""]
             words = [w for w in words if not CUE.search(w)] or [""]
@@ -382,6 +393,12 @@ def spans_of(labels: dict[int, int]) -> list[tuple[str, int, int]]:
     return [tuple(x) for x in out]
 
 
+def unspelled(found: str) -> str:
+    """With marks for a spelled "at" and "dot". A bare "at" only counts where a "dot" is spelled too."""
+    bracketed = re.search(r"\sat\s", found) is None
+    return SPELLED_DOT.sub(".", SPELLED_AT.sub("@", found)) if bracketed or SPELLED_DOT.search(found) else found
+
+
 def proved(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] | None:
     """The span without outer blanks and marks if the exact check of its kind holds."""
     lead = "+(" if kind == "phone" else ""
@@ -393,7 +410,7 @@ def proved(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] |
     if not found or (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         return None
     if kind == "email":
-        ok = EMAIL.fullmatch(re.sub(r"[\s\[\]()]", "", found)) is not None
+        ok = EMAIL.fullmatch(re.sub(r"[\s\[\]()]", "", unspelled(found))) is not None
     elif kind == "ip":
         ok = re.fullmatch(r"[0-9]{1,3}(?:[\s\[\](.)]{1,3}[0-9]{1,3}){3}", found) is not None and all(int(p) <= 255 for p in re.findall(r"[0-9]+", found)) and found.count(".") == 3
     elif kind == "card":
