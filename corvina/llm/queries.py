@@ -128,11 +128,15 @@ measures AS (
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\x0B\f\r]*\z'))) AS n_cut_lines,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_list_lines
   FROM split LEFT JOIN covered USING (doc_id)),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measures)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+  NOT (base_failed OR 2 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+    OR 2 * n_digits > word_chars OR 10 * n_cut_lines > 3 * n_lines OR 10 * n_list_lines > 9 * n_lines) AS kept
 FROM failed
 """,
 }

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from corvina.llm import quality, urls
 
 from .conftest import ODD
@@ -58,9 +61,8 @@ def test_measures(spark, odd, prose):
 def test_order_does_not_matter(spark, prose):
     docs = spark.createDataFrame([(i, prose(5 * i, i)) for i in range(12)] + [(99, "b " * 50)], "doc_id long, text string")
     rules = quality.standard_rules()
-    measures = quality.measured(docs)
-    columns = {c: measures[c] for c in measures.columns}
-    seen = {frozenset(r[0] for r in measures.where(quality.cascade(order, columns).isNull()).select("doc_id").collect()) for order in (rules, rules[::-1], rules[2:] + rules[:2])}
+    measures = quality.expressions(F.col("text"), quality.words_of(F.col("text")))
+    seen = {frozenset(r[0] for r in docs.where(quality.cascade(order, measures).isNull()).select("doc_id").collect()) for order in (rules, rules[::-1], rules[2:] + rules[:2])}
     seen.add(frozenset(r[0] for r in quality.kept(docs).collect()))
     seen.add(frozenset(r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]))
     assert len(seen) == 1
@@ -68,6 +70,36 @@ def test_order_does_not_matter(spark, prose):
     assert [s / c for _, c, s in ordered] == sorted((s / c for _, c, s in ordered), reverse=True)
 
 
+def test_short_circuit(spark, prose):
+    """What a rule rejects is never measured by the rules behind it: the order decides what work is done."""
+    docs = spark.createDataFrame([(1, prose(50)), (2, "too short")], "doc_id long, text string")
+    measures = quality.expressions(F.col("text"), quality.words_of(F.col("text")))
+    first = quality.Rule("all", lambda m: m["n_words"] >= 0)
+    costly = quality.Rule("costly", lambda m: F.raise_error(F.lit("measured")).cast("boolean"))
+    assert docs.where(quality.cascade([first, costly], measures).isNull()).count() == 0
+    with pytest.raises(Exception, match="measured"):
+        docs.where(quality.cascade([costly, first], measures).isNull()).count()
+
+
+def test_costs_follow_the_work(spark, prose):
+    """A rule that takes fifty times the work is behind one of the same selectivity."""
+    docs = spark.createDataFrame([(i, prose(400, i)) for i in range(60)], "doc_id long, text string")
+    heavy = quality.Rule("a_heavy", lambda m: F.length(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.sha2(F.concat(F.col("_text"), i.cast("string")).cast("binary"), 256)), "")) > 1)
+    light = quality.Rule("b_light", lambda m: m["n_digits"] >= 0)
+    assert [r.name for r, _, _ in quality.ordered_rules(docs, [heavy, light])] == ["b_light", "a_heavy"]
+
+
+def test_other_rules(spark):
+    cut = "\n".join(f"a line of seven words that ends ..." for _ in range(5))
+    lists = "\n".join(f"- item {c} of a list" for c in "abcdefg")
+    fine = "\n".join(f"a line of eight words that ends here {c}" for c in "abcdefg")
+    docs = spark.createDataFrame([(1, cut.replace("a line", "another line", 1), None), (2, lists, None), (3, "2024 1234567 " * 25 + fine, None), (4, fine, None), (5, "12 34567890 " * 3 + fine, None)], "doc_id long, text string, n_words string")
+    rules = [r for r in quality.standard_rules() if r.name in ("digits", "cut_lines", "list_lines")]
+    got = {r["doc_id"]: r for r in quality.judge(docs, rules, carried=["doc_id", "n_words"]).collect()}
+    assert {d: r["rejected_by"] for d, r in got.items()} == {1: "cut_lines", 2: "list_lines", 3: "digits", 4: None, 5: None}
+    assert got[4]["n_words_given"] is None and got[4]["n_words"] == 63
+
+
 def test_very_long_and_empty(spark, empty, long_text):
     assert quality.judge(empty).count() == 0
     (r,) = quality.judge(spark.createDataFrame([(1, long_text)], "doc_id long, text string")).collect()
