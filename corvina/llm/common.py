@@ -83,6 +83,35 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: A key is hot if it has more rows than this and than a MOST_HOT-th of all; so there are fewer than MOST_HOT of them.
+HOT_ROWS, MOST_HOT = 1000, 1000
+
+
+def hot_keys(rows: DataFrame, on: list[str], total: int) -> DataFrame | None:
+    """The keys that hold more rows than a task should get, with _ways, the number of tasks to deal them over; None if
+    there is none. Counted by partial aggregates; fewer than MOST_HOT whatever the number of rows, so they may be
+    collected and broadcast."""
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    found = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("long").alias("_ways")).collect()
+    schema = T.StructType([*[rows.schema[c] for c in on], T.StructField("_ways", T.LongType())])
+    return rows.sparkSession.createDataFrame(found, schema) if found else None
+
+
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows``, of which there are ``total``, joined (inner, left or left_semi) with ``one``, which has one row a key at
+    most. The rows of a hot key are dealt over several tasks by a hash of the row, and its row of ``one`` is copied to
+    each of them: at most 2 * MOST_HOT copies in all."""
+    hot = hot_keys(rows, on, total)
+    if hot is None:
+        return rows.join(one, on, how)
+    hot = F.broadcast(hot)
+    dealt = F.when(F.col("_ways").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), "_ways")).cast("long")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_ways") - 1, F.lit(0)).cast("long")))
+    left = rows.join(hot, on, "left").withColumn("_salt", dealt).drop("_ways")
+    right = one.join(hot, on, "left").withColumn("_salt", copies).drop("_ways")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 #: What a Python worker keeps between tasks, by key: one thing at a time.
 _kept: dict = {}
 _asked = False

@@ -12,8 +12,8 @@ Steps, whatever the size of either side:
 2. one pass over the documents winnows them and keeps the windows whose fingerprint may be in the bit table; what it
    lets through in vain costs a row in the join, nothing else;
 3. the distinct windows so found are joined with the benchmark's by fingerprint, and confirmed on their words;
-4. the documents' windows are joined with the confirmed ones, SALTS ways, so that a passage that a third of all
-   documents hold is dealt over tasks; a document's confirmed windows are extended to passages;
+4. the documents' windows are joined with the confirmed ones, those of a passage that a third of all documents hold
+   dealt over many tasks (``spread_join``); a document's confirmed windows are extended to passages;
 5. documents with the same confirmed windows share a list of items, which is made once for each such set.
 
 Documents without a candidate never enter a join. Null and empty texts have no words. Rows that share a doc_id, and
@@ -30,13 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, gram_hashes, map_texts, mix, word_hashes, written
+from .common import carried, gram_hashes, map_texts, mix, spread_join, word_hashes, written
 
 K = 5
 #: The bit table has at most 2 to this bits (32 MB); a larger benchmark only lets more windows through to the join.
 MOST_BITS = 28
-#: Ways in which a window that many documents hold is dealt.
-SALTS = 32
 #: A-Z to a-z; every other ASCII character that is no letter or digit to a blank; bytes from 128 on stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -181,14 +179,6 @@ def passages(windows: list[dict]) -> list[dict]:
     return [{"start": s, "end": e} for s, e in merged([(w["start"], w["start"] + w["n"]) for w in windows])]
 
 
-def salted(df: DataFrame, on: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(on), F.lit(SALTS)))
-
-
-def every_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-
-
 def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int, k: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """The winnowed documents with a number ``row`` each, as a table; and of the rows with hits: row, hits, items.
 
@@ -204,7 +194,8 @@ def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
     confirmed = asked.join(known.select("n", "fp", "h1", "h2", "words").distinct(), ["n", "fp", "h1", "h2", "words"], "left_semi").select("h1", "h2")
     confirmed = written(spark, confirmed, "confirmed")
 
-    held = salted(own.select("row", "start", "n", "h1", "h2"), "row").join(every_salt(confirmed), ["h1", "h2", "salt"], "left_semi")
+    total = rows.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]
+    held = spread_join(own.select("row", "start", "n", "h1", "h2"), confirmed, ["h1", "h2"], total, "left_semi")
     by_row = held.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"), F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("held"))
     spans = F.udf(passages, "array<struct<start:int,end:int>>", useArrow=True)("spans")
     by_row = by_row.select("row", spans.alias("hits"), "held", F.xxhash64("held").alias("set1"), F.xxhash64(F.lit(1), "held").alias("set2"))
@@ -213,7 +204,7 @@ def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: i
     sets = by_row.groupBy("set1", "set2").agg(F.first("held").alias("held"))
     named = sets.select("set1", "set2", F.explode("held").alias("w")).select("set1", "set2", "w.*").join(known.select("h1", "h2", "item"), ["h1", "h2"])
     lists = named.groupBy("set1", "set2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = salted(by_row.drop("held"), "row").join(every_salt(lists), ["set1", "set2", "salt"]).select("row", "hits", "items")
+    hits = spread_join(by_row.drop("held"), lists, ["set1", "set2"], by_row.count()).select("row", "hits", "items")
     return rows, hits
 
 

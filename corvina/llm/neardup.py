@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, map_texts, mix, word_hashes, written
+from .common import WordHashes, delete, gram_hashes, map_texts, mix, spread_join, stored, word_hashes, written
 
 EMPTY = np.iinfo(np.uint64).max
 U = np.uint64
@@ -113,20 +113,24 @@ def shingles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(id, comp) for the nodes of ``edges`` (a, b); comp: the smallest node reachable. Large-star, small-star."""
-    e = written(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    """(id, comp) for the nodes of ``edges`` (a, b); comp: the smallest node reachable. Large-star, small-star; the hub of
+    a giant component is a hot key of both joins (see ``spread_join``). A round's table goes once the next is there."""
+    e, path = stored(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         several = e.groupBy("u").count().where("count > 1").limit(1)
         chained = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").select("u").limit(1)
         if several.isEmpty() and chained.isEmpty():
             break
+        total = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = written(spark, e, "large")
+        large = spread_join(both, least, ["u"], 2 * total).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e, path, old = *stored(spark, large, "large"), path
+        delete(spark, old)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(spark, small.select("x.u", "x.v").where("u <> v").distinct(), "small")
+        small = spread_join(e, least, ["u"], total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e, path, old = *stored(spark, small.select("x.u", "x.v").where("u <> v").distinct(), "small"), path
+        delete(spark, old)
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return written(spark, e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots), "components")
 
@@ -140,7 +144,9 @@ def confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: i
     """The pairs (a, b) that hold on the full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    both = pairs.join(left, "a").join(right, "b").where(sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+    pairs = written(spark, pairs, "asked")
+    total = pairs.count()
+    both = spread_join(spread_join(pairs, left, ["a"], total), right, ["b"], total).where(sizes_fit(F.col("n_a"), F.col("n_b"), percent))
     both = both.withColumn("shared", F.size(F.array_intersect("g_a", "g_b")))
     return written(spark, both.where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b").distinct(), "links")
 
@@ -264,7 +270,7 @@ def resolved(spark: SparkSession, docs: DataFrame, k: int, percent: int, bands:
     sets = written(spark, sets.groupBy("id", F.xxhash64("grams").alias("h")).agg(F.first("n").alias("n"), F.first("grams").alias("grams")).drop("h"), "sets")
 
     pivots = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
-    pairs = postings.join(pivots, "key").where("id <> p.id").where(sizes_fit(F.col("n"), F.col("p.n"), percent))
+    pairs = spread_join(postings, pivots, ["key"], postings.count()).where("id <> p.id").where(sizes_fit(F.col("n"), F.col("p.n"), percent))
     pairs = written(spark, pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = confirmed(spark, pairs, sets, percent)
     comps = components(spark, edges)
@@ -273,8 +279,9 @@ def resolved(spark: SparkSession, docs: DataFrame, k: int, percent: int, bands:
         comps = components(spark, reduce(DataFrame.unionByName, more, edges))
 
     members = classes.select("d1", "d2", "least_doc", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    members = written(spark, members, "members")
     least = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
-    named = members.join(least, "comp").select("d1", "d2", "component_id", F.coalesce("component_id", "comp").alias("first_id"))
+    named = spread_join(members, least, ["comp"], members.count()).select("d1", "d2", "component_id", F.coalesce("component_id", "comp").alias("first_id"))
     return rows_, named
 
 
@@ -282,7 +289,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
     rows_, named = resolved(spark, docs, k, percent, bands, rows)
     # the empty set has no class: such documents stand alone
-    out = rows_.select("doc_id", "n_shingles", "d1", "d2").join(named.drop("first_id"), ["d1", "d2"], "left")
+    out = spread_join(rows_.select("doc_id", "n_shingles", "d1", "d2"), named.drop("first_id"), ["d1", "d2"], rows_.count(), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 

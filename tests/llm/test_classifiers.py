@@ -218,3 +218,123 @@ def test_word_memory_is_bounded():
     h = WordHashes(most=10)
     first = [h[str(i).encode()] for i in range(100)]
     assert len(h) <= 10 and first == [h[str(i).encode()] for i in range(100)]
+
+
+def test_clashing_names_and_missing_lang(spark, corpus, network):
+    """Carried columns that have an added one's name come as <name>_given; texts without lang are judged by the global threshold."""
+    docs, labels = corpus
+    few = docs.limit(20).selectExpr("doc_id", "text", "7 AS score", "'x' AS Spans", "'y' AS lang_pred")
+    model = toxicity.train(docs.drop("lang"), labels)
+    got = toxicity.score(spark, few, model, keep=["doc_id", "score"])
+    assert got.columns == ["doc_id", "score_given", "score"] and {r["score_given"] for r in got.collect()} == {7}
+    assert toxicity.accepted(spark, few, model).columns == few.columns
+    got = language.predict(spark, few, None, keep=["doc_id", "lang_pred"])
+    assert got.columns == ["doc_id", "lang_pred_given", "lang_pred", "score"] and got.count() == 20
+    got = pii.find(spark, few, network, keep=["Spans"])
+    assert got.columns[0] == "Spans_given" and {r[0] for r in got.collect()} == {"x"}
+
+
+def test_only_letters_make_a_language(spark, corpus):
+    docs, _ = corpus
+    model = language.train(docs, train_rows=60)
+    texts = spark.createDataFrame([(1, "½ ② ²"), (2, "x² + ½"), (3, "٣ ५ _"), (4, "日本"), (5, "ª")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.predict(spark, texts, model).orderBy("doc_id").collect()] == [True, False, True, False, False]
+
+
+def fold(doc_id, parts):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % parts
+
+
+def saved(tmp_path, **tables):
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_op5_never_reads_held_out_labels(spark, corpus, tmp_path):
+    """Languages of held-out rows, and sources, may be anything: the result is the same; held_out is as plain Python says."""
+    from pyspark.sql import functions as F
+
+    from corvina.llm import queries
+
+    docs, _ = corpus
+    docs = docs.limit(300)
+    held = queries.fold("doc_id", 4) == 2
+    changed = docs.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.reverse("text"))
+    out = [sorted(map(tuple, queries.op5_language(spark, saved(tmp_path / d, documents=t)).collect())) for d, t in (("a", docs), ("b", changed))]
+    assert out[0] == out[1] and len(out[0]) == 300
+    assert all(r[1] == (fold(r[0], 4) == 2) for r in out[0]) and {r[2] for r in out[0]} == {"aa", "bb", "cc"}
+
+
+def test_op9_never_reads_held_out_labels(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corvina.llm import queries
+
+    docs, labels = corpus
+    held = queries.fold("doc_id", 3) == 1
+    changed = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q")})
+    out = [sorted(map(tuple, queries.op9_toxicity(spark, saved(tmp_path / d, documents=t, labels=l)).collect())) for d, t, l in (("a", docs, labels), ("b", other, changed))]
+    assert out[0] == out[1]
+    assert all(r[1] == (fold(r[0], 3) == 1) and r[3] == int(r[2] >= 0.7) for r in out[0])
+    toxic = dict(map(tuple, labels.select("doc_id", "toxic").collect()))
+    judged = [(toxic[r[0]], r[3]) for r in out[0] if r[1]]
+    assert sum(a == b for a, b in judged) > 0.95 * len(judged)
+
+
+def test_toxicity_sample_is_bounded(spark, corpus):
+    docs, labels = corpus
+    longest = docs.limit(1).selectExpr("doc_id + 5000 AS doc_id", "repeat('word ', 30000) AS text", "lang", "source")
+    docs, labels = docs.unionByName(longest), labels.unionByName(longest.selectExpr("doc_id", "1 AS toxic", "1 AS quality"))
+    got = toxicity.labelled(docs, labels, 300, 10_000_000, 3)
+    assert 200 < got.count() < 400 and got.where("doc_id >= 5000").count() == 0
+    few = toxicity.labelled(docs, labels, 6000, 60_000, 3).selectExpr("sum(length(text))").first()[0]
+    assert 30_000 < few < 100_000
+
+
+def test_held_out_spans(spark, network):
+    """Precision and recall of the added spans on made-up texts that training did not see, by kind."""
+    rng = np.random.default_rng(77)
+    words = made_words(90, "aeiourstlmnd")
+    rows, want = [], {}
+    for i in range(240):
+        parts, spans, size = [], [], 0
+        for _ in range(12):
+            w = words[rng.integers(0, len(words))]
+            parts.append(w)
+            size += len(w) + 1
+            if rng.random() < 0.3:
+                kind, made = pii.written_spans(rng)
+                if kind:
+                    spans.append((kind, size, size + len(made)))
+                parts.append(made)
+                size += len(made) + 1
+        rows.append((i, " ".join(parts)))
+        want[i] = spans
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), network).collect()}
+    hit, made, found = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    for i, text in rows:
+        own = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].split(",") if x)]
+        base = set(pii.base_spans(text))
+        added = [x for x in own if x not in base]
+        rest = [x for x in want[i] if not any(a < x[2] and x[1] < b for _, a, b in base)]
+        for k in pii.KINDS:
+            made[k] += sum(x[0] == k for x in rest)
+            found[k] += sum(x[0] == k for x in added)
+            hit[k] += sum(x in rest for x in added if x[0] == k)
+    recall = {k: hit[k] / max(1, made[k]) for k in pii.KINDS}
+    precision = {k: hit[k] / max(1, found[k]) for k in pii.KINDS}
+    print("added spans, held out:", {k: (made[k], found[k], round(precision[k], 2), round(recall[k], 2)) for k in pii.KINDS})
+    assert min(precision.values()) > 0.8 and sum(hit.values()) > 0.6 * sum(made.values())
+
+
+def test_spelled_addresses():
+    for text in ("john at example dot com", "ann.lee [at] example.org", "ann(at)mail(dot)example(dot)org", "x [at] a [dot] net"):
+        assert pii.proved("email", f"mail {text} now", 5, 5 + len(text)) == ("email", 5, 5 + len(text))
+        assert pii.placed_windows(f"mail {text} now")
+    for text in ("look at example.com", "at example dot", "look at that"):
+        assert pii.proved("email", text, 0, len(text)) is None
+    assert not pii.placed_windows("look at the example, at last")

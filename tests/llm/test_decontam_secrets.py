@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from corvina.llm import decontam, secret_scan
+from corvina.llm import common, decontam, secret_scan
 
 from .conftest import ODD
 
@@ -49,8 +49,9 @@ def test_equals_brute_force(spark, odd, prose, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((d, n, h, tuple(f)) for d, (n, h, f) in ((d, plain_hits(t, items)) for d, t in [*ODD, *rows]))
     assert rows_of(decontam.find_hits(spark, docs, benchmark)) == want
-    for name, value in (("MOST_BITS", 6), ("SALTS", 3)):  # a bit table that lets nearly everything through
-        monkeypatch.setattr(decontam, name, value)
+    monkeypatch.setattr(decontam, "MOST_BITS", 6)  # a bit table that lets nearly everything through
+    for name, value in (("HOT_ROWS", 2), ("MOST_HOT", 40)):  # many hot windows
+        monkeypatch.setattr(common, name, value)
     assert rows_of(decontam.find_hits(spark, docs, benchmark)) == want
     assert rows_of(decontam.find_hits(spark, docs, benchmark.limit(0))) == Counter((d, n, 0, ()) for d, n, _, _ in want.elements())
     left = decontam.clean(spark, docs, benchmark)
@@ -170,3 +171,16 @@ def test_redact(spark, odd, empty):
     assert Counter((r["doc_id"], r["text"]) for r in rows if r["doc_id"] != 70) == Counter(ODD)
     assert [(r["text"], r["n_chars"]) for r in rows if r["doc_id"] == 70] == [("a [SECRET] b [SECRET] c", 23)]
     assert secret_scan.redact(empty).count() == 0
+
+
+def test_short_signed_token():
+    """A token needs no long run beside it to be found."""
+    token = "eyJhbGciOiJub25lIn0.e30.AA"
+    assert secret_scan.confirmed_spans(token) == [("jwt", 0, len(token))]
+    assert secret_scan.confirmed_spans(f"a {token} " + "b" * 60) == [("jwt", 2, 2 + len(token))]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghij", "x", 5)], "doc_id long, text string, spans string, N_HEX int")
+    (r,) = secret_scan.scan(docs, keep=["doc_id", "spans", "N_HEX"]).collect()
+    assert r["spans_given"] == "x" and r["N_HEX_given"] == 5 and r["spans"] == "assign:0:18" and r["n_hex"] == 0

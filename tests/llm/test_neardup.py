@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corvina.llm import neardup
+from corvina.llm import common, neardup
 
 from .conftest import ODD
 
@@ -51,7 +51,9 @@ def copies(rng, text, n, share):
 
 
 @pytest.mark.parametrize("k", [2, 5])
-def test_equals_all_pairs(spark, odd, prose, k):
+def test_equals_all_pairs(spark, odd, prose, k, monkeypatch):
+    for name, value in (("HOT_ROWS", 3), ("MOST_HOT", 30)) if k == 2 else ():  # most joins meet hot keys
+        monkeypatch.setattr(common, name, value)
     rng = random.Random(k)
     texts = [prose(n, i) for i, n in enumerate([1, 2, 4, 5, 30, 80, 150, 400])]
     for t, n, share in ((texts[6], 60, 0.02), (texts[7], 30, 0.03), (texts[5], 10, 0.04)):
@@ -87,6 +89,18 @@ def test_open_buckets(spark, prose, monkeypatch, block):
     assert Counter(map(tuple, got)) == Counter(plain_components(rows, 2))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join(spark, how):
+    """The same rows as a plain join; the rows of a hot key are dealt over several groups."""
+    rows = spark.createDataFrame([(7, i) for i in range(3000)] + [(8, i) for i in range(1500)] + [(i, i) for i in range(100, 200)], "key long, n long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in (7, 8, *range(150, 220))], "key long, v string")
+    got, want = common.spread_join(rows, one, ["key"], rows.count(), how), rows.join(one, ["key"], how)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    hot = {r["key"]: r["_ways"] for r in common.hot_keys(rows, ["key"], rows.count()).collect()}
+    assert hot == {7: 3, 8: 2}
+    assert common.hot_keys(rows.where("key > 8"), ["key"], 100) is None
+
+
 def test_sketch_agreement():
     rng = np.random.default_rng(1)
     for n, shared in ((200, 150), (3, 2), (1, 1)):
