@@ -143,7 +143,7 @@ def token_block_pairs(spark, sf_dir):
 
 @query()
 def candidate_pairs(spark, sf_dir):
-    return blocking.candidates(blocking.with_norms(_records(spark, sf_dir)))
+    return blocking.candidates(written(blocking.with_norms(_records(spark, sf_dir)).drop("abstract", "raw", "provenance")))
 
 
 @query()

@@ -1,6 +1,7 @@
 """Deduplication against a naive, one-by-one evaluation of the documented rules."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 
@@ -43,24 +44,86 @@ def made(seed, n):
     return rows
 
 
+class Forest(dict):
+    """Groups by the record that names them; the larger one's name stays, on a tie the first one's."""
+
+    def find(self, x):
+        return self.setdefault(x, x)
+
+    def union(self, a, b):
+        a, b = self.find(a), self.find(b)
+        size = lambda r: sum(v == r for v in self.values())
+        if size(a) < size(b):
+            a, b = b, a
+        for x, v in list(self.items()):
+            if v == b:
+                self[x] = a
+        return a
+
+
+def known_year(x):
+    return x.year is not None and x.year == x.year  # pandas has NaN for a missing year
+
+
+def like(x, y):
+    return SequenceMatcher(None, x, y).ratio()
+
+
+def plain_rules(a, b, o):
+    """(reason that they are two works in spite of an identifier, likeness of titles, near years, same names, conflict)."""
+    title = 0.0 if a.no_title or b.no_title else like(a.norm_title, b.norm_title)
+    two_years = known_year(a) and known_year(b)
+    why = ""
+    if o.separate_by_locus:
+        if not a.unreadable and not b.unreadable and "" not in (a.page, b.page) and a.page != b.page and a.digits != b.digits:
+            why = "pages"
+        elif "" not in (a.volume_no, b.volume_no) and a.volume_no != b.volume_no and two_years and a.year != b.year:
+            why = "volume+year"
+        elif set(a.markers) != set(b.markers):
+            why = "series instalment"
+    for x, y in ((a, b), (b, a)):
+        if not why and o.separate_conference and x.venue and (x.doi, x.page) == ("", "") and y.doi and y.page:
+            why = "conference"
+    near = not two_years or abs(a.year - b.year) <= o.year_tolerance
+    names = "" in (a.surname, b.surname) or a.surname == b.surname or like(a.surname, b.surname) >= 0.85
+    conflict = any(getattr(a, c) and getattr(b, c) and getattr(a, c) != getattr(b, c) for c in match.IDS)
+    return why, title, near, names, conflict
+
+
+def plain_refusal(a, b, o):
+    why, title, *_ = plain_rules(a, b, o)
+    return "title" if title < o.id_title_min else why if o.separate_by_locus else ""
+
+
+def plain_score(a, b, via, o):
+    why, title, near, names, conflict = plain_rules(a, b, o)
+    need = o.round_title_min if via else o.fuzzy_threshold
+    if not a.norm_title or not b.norm_title:
+        return None
+    same = known_year(a) and known_year(b) and a.year == b.year and a.digits == b.digits != "" and names and title >= 0.99
+    if conflict and not (o.allow_copublication and same):
+        return None
+    return title if near and names and title >= need and not why else None
+
+
 def naive(records, o):
     """Partition and decisions, one by one. ``records``: facts with authors and journals beside them, in input order."""
     known, raw = records
-    forest, log = dedup.Forest(), []
+    forest, log = Forest(), []
     holders = {}
     for f in known:
-        for name, c in zip(match.ID_NAMES, match.IDS):
+        for name, c in ((n, c) for c, n in match.IDS.items()):
             if getattr(f, c):
                 holders.setdefault((name, getattr(f, c)), []).append(f)
     for f in known:
-        for name, c in zip(match.ID_NAMES, match.IDS):
+        for name, c in ((n, c) for c, n in match.IDS.items()):
             value = getattr(f, c)
             if not value or holders[name, value][0] is f:
                 continue
             owner = holders[name, value][0]
             if forest.find(owner.ord) == forest.find(f.ord):
                 continue
-            if len(holders[name, value]) >= 3 and match.refused_link(owner, f, o):
+            if len(holders[name, value]) >= 3 and plain_refusal(owner, f, o):
                 continue
             forest.union(owner.ord, f.ord)
             log.append((owner.ord, f.ord, name))
@@ -106,8 +169,7 @@ def naive(records, o):
         if ri == rj:
             continue
         a, b = by[best.get(ri, ri)], by[best.get(rj, rj)]
-        score, _ = match.fuzzy_score(a, b, via, o)
-        if score is None:
+        if plain_score(a, b, via, o) is None:
             continue
         best[forest.union(ri, rj)] = a.ord if a.rich >= b.rich else b.ord
         log.append((a.ord, b.ord, "fuzzy"))
@@ -132,6 +194,30 @@ def test_equals_one_by_one(spark, seed):
     counts = dict(map(tuple, got.counts.collect()))
     assert counts["before"] == 90 and counts["after"] == len(set(want.values())) == got.records.count()
     assert counts.get("by_method:fuzzy", 0) == sum(m == "fuzzy" for _, _, m in log)
+    assert counts["oversized_probes"] == 0 and counts["records_without_candidates"] >= 0 and "oversized_keys" in counts
+
+
+def test_skipped_candidates_are_counted(spark):
+    """What the limits of blocking leave out shows in the counts, and a higher limit brings it in."""
+    rows = [{"title": f"alpha beta gamma delta {'x' * (i + 3)}", "authors": ["Nowak, A"], "year": 2000, "pages": "7"} for i in range(30)]
+    low = dict(map(tuple, dedup.deduplicate(frame(spark, rows), max_block=20, fuzzy_threshold=2.0, round_title_min=2.0).counts.collect()))
+    high = dict(map(tuple, dedup.deduplicate(frame(spark, rows), round_block=100, fuzzy_threshold=2.0, round_title_min=2.0).counts.collect()))
+    assert low["oversized_probes"] == 90 and low["records_without_candidates"] == 30 and low["oversized_keys"] == 2
+    assert (high["oversized_probes"], high["records_without_candidates"], high["oversized_keys"]) == (0, 0, 0)
+
+
+def test_groups():
+    """Like the forest of the naive pass, whatever is joined."""
+    rng = random.Random(3)
+    for _ in range(50):
+        ours, theirs = dedup.Groups(), Forest()
+        for _ in range(40):
+            a, b = rng.sample(range(20), 2)
+            if ours.of(a) != ours.of(b):
+                ours.join(ours.of(a), ours.of(b))
+            if theirs.find(a) != theirs.find(b):
+                theirs.union(a, b)
+        assert ours.name == dict(theirs)
 
 
 def test_rules(spark):
