@@ -100,20 +100,31 @@ def ris_text() -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
 
 
+#: The characters that are special in LaTeX, and how they are written.
+LATEX = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}", "{": r"\{", "}": r"\}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_"}
+
+
 def bibtex_escape(col: Column) -> Column:
-    """The characters that are special in LaTeX; macros go in last, so that their braces stay."""
-    marks = [("\\", "\u0001", "\\textbackslash{}"), ("~", "\u0002", "\\textasciitilde{}"), ("^", "\u0003", "\\textasciicircum{}")]
-    for char, mark, _ in marks:
-        col = F.replace(col, F.lit(char), F.lit(mark))
-    for char in "{}&%$#_":
-        col = F.replace(col, F.lit(char), F.lit("\\" + char))
-    for _, mark, macro in marks:
-        col = F.replace(col, F.lit(mark), F.lit(macro))
-    return col
+    """Special characters as LaTeX writes them, character by character, so that no replacement meets another's result."""
+    table = F.create_map(*[F.lit(x) for pair in LATEX.items() for x in pair])
+    special = "[" + "".join("\\" + c for c in LATEX) + "]"
+    pieces = F.split(col, "")
+    written_ = F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(col.rlike(special), written_).otherwise(col)
+
+
+def letters(n: Column) -> Column:
+    """1, 2, ... as a, b, ..., z, aa, ab, ...: letters in the way of a spreadsheet's columns, up to seven of them."""
+    out, rest = F.lit(""), n.cast("long")
+    for _ in range(7):
+        letter = F.when(rest > 0, F.char(F.lit(97) + F.pmod(rest - 1, F.lit(26)))).otherwise("")
+        out, rest = F.concat(letter, out), F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("long")
+    return out
 
 
 def bibtex_frame(records: DataFrame) -> DataFrame:
-    """(ord, key, text). A key is surname and year; the second record of a key gets b, the third c, and so on."""
+    """(ord, key, text). A key is surname and year; the second record of a key gets b, the third c, the 27th aa, and so on, so
+    keys are unique and hold letters and digits only."""
     from pyspark.sql import Window
 
     first = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
@@ -126,7 +137,7 @@ def bibtex_frame(records: DataFrame) -> DataFrame:
     starts = sizes.select("_base", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_base", "_block").orderBy("ord"))
     keyed = block.withColumn("_n", place).join(starts, ["_base", "_block"]).withColumn("_n", F.col("_n") + F.col("_start"))
-    key = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.char(F.lit(96) + F.col("_n"))))
+    key = F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", letters(F.col("_n"))))
     kind = _mapped(BIBTEX_TYPES, F.col("doc_type"), F.lit("article"))
     venue = F.when(kind.isin("inproceedings", "incollection"), "booktitle").otherwise("journal")
     values = [(F.lit("title"), F.col("title")), (F.lit("author"), F.array_join("authors", " and ")), (F.lit("type"), F.when(kind == "misc", F.col("doc_type")).otherwise("")), (venue, F.col("journal")), (F.lit("year"), _year()), (F.lit("volume"), F.col("volume")), (F.lit("number"), F.col("issue")), (F.lit("pages"), F.col("pages")), (F.lit("doi"), F.col("doi")), (F.lit("issn"), F.col("issn")), (F.lit("url"), F.col("url")), (F.lit("language"), F.col("language")), (F.lit("keywords"), _list("keywords")), (F.lit("note"), F.when(F.col("pmid") != "", F.concat(F.lit("PMID: "), "pmid")).otherwise("")), (F.lit("abstract"), F.col("abstract"))]
@@ -135,5 +146,15 @@ def bibtex_frame(records: DataFrame) -> DataFrame:
     return keyed.withColumn("key", key).select("ord", "key", text.alias("text"))
 
 
+def decision_lines(decisions: DataFrame) -> DataFrame:
+    """The log of decisions as a table for people: in the order in which they were taken, scores with four places."""
+    cells = [fields.safe_cell(F.coalesce(c, F.lit(""))).alias(c) for c in ("kept_source", "removed_source", "kept_title", "removed_title")]
+    return decisions.select(F.struct("stage", "place").alias("ord"), "kept_uid", "removed_uid", "method", F.format_string("%.4f", "score").alias("score"), "key", *cells)
+
+
+def write_decisions(decisions: DataFrame, path: str) -> None:
+    write_csv(decision_lines(decisions), path, one_file=True)
+
+
 def write_text(frame: DataFrame, path: str) -> None:
     frame.orderBy("ord").select("text").write.option("lineSep", "\n").text(path)

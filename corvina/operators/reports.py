@@ -177,7 +177,7 @@ def reference_entries(records: DataFrame) -> DataFrame:
 def cited_dois(records: DataFrame) -> DataFrame:
     """(doi, n): how many records cite it."""
     found = reference_entries(records).where(F.col("key").startswith("doi:")).distinct()
-    return found.groupBy(F.substring("key", 5, 1 << 20).alias("doi")).agg(F.count("*").alias("n"))
+    return found.groupBy(F.expr("substring(key, 5)").alias("doi")).agg(F.count("*").alias("n"))
 
 
 def cited_but_absent(records: DataFrame, min_citing: int = 1) -> DataFrame:
@@ -221,6 +221,19 @@ def recover_abstracts(records: DataFrame, works: DataFrame, min_len: int = 250)
     return out.select(*records.columns)
 
 
+def quality_csv(found: DataFrame, path: str) -> None:
+    """``quality_rounded`` as one CSV file, a row for each source, by name."""
+    found.orderBy("source").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def source_note(name: Column | str) -> Column:
+    """What the registry says of a source in words."""
+    known, evidence = canonical_source(name), source_evidence(name)
+    words = {"listed": "listed as suitable as a principal source", "platform": "listed as a platform; it depends on the databases chosen there", "field-convention": "used as a principal source by convention of its field", "not-assessed": "not assessed; supplementary", "not-principal": "assessed as not suitable as a principal source"}
+    text = F.try_element_at(F.create_map(*[F.lit(x) for p in words.items() for x in p]), evidence)
+    return F.when(known == "", "unknown source").otherwise(F.concat(known, F.lit(": "), F.coalesce(text, F.lit(""))))
+
+
 # --- flow
 
 
@@ -237,9 +250,11 @@ def flow(spark: SparkSession, **given: int) -> DataFrame:
     return row.withColumn("problems", F.filter(F.array(*problems), lambda p: p.isNotNull()))
 
 
-def markdown(frame: DataFrame) -> str:
-    """A small frame as a Markdown table."""
-    rows = frame.collect()
+def markdown(frame: DataFrame, most: int = 10_000) -> str:
+    """A frame of at most ``most`` rows as a Markdown table; of a longer one the first rows, and how many there are."""
+    rows = frame.limit(most + 1).collect()
+    over = len(rows) > most
+    rows = [tuple(r) for r in rows[:most]] + ([("...", *[""] * (len(frame.columns) - 2), f"{frame.count()} rows")[: len(frame.columns)]] if over else [])
     head = f"| {' | '.join(frame.columns)} |\n|{'---|' * len(frame.columns)}"
     return "\n".join([head, *[f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows]])
 

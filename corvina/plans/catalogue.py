@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions.text import column, normalize_title, surname
 from ..operators import blocking, dedup, export, harvest, identity, match, reports, search, validate
-from ..schema import RECORDS_SQL, from_documents
 from ..tables import written
-
-
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+from .registry import NORM_SQL, ORACLE, QUERIES, query, records_of
 
 
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,22 +20,6 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCHES_SQL = """searches AS (SELECT n_nationkey AS ord, (['Scopus', 'PubMed (via NCBI)', 'OpenAlex API', 'Clarivate Web of Science', 'My Library'])[n_nationkey % 5 + 1] AS database, CAST(n_nationkey * 10 AS BIGINT) AS records_retrieved FROM nation)"""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None, records: bool = True):
-    """Registers a query, and its SQL (over the record view unless said otherwise)."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE[function.__name__] = f"WITH {RECORDS_SQL}{'' if sql.startswith(',') else chr(10)}{sql}" if records else sql
-        return function
-
-    return add
-
-
 # --- fields
 
 
@@ -47,29 +27,29 @@ def query(sql: str | None = None, records: bool = True):
 def normalize_doi(spark, sf_dir):
     given = F.lower(F.regexp_replace("doi", "^10", "https://doi.org/10"))
     back = fields.doi(F.concat(F.lit(" "), given, F.lit(".")))
-    return _records(spark, sf_dir).select("uid", given.alias("given"), back.alias("doi"), F.upper(fields.doi(F.concat(F.lit("DOI: "), F.upper("doi")))).alias("shouted"))
+    return records_of(spark, sf_dir).select("uid", given.alias("given"), back.alias("doi"), F.upper(fields.doi(F.concat(F.lit("DOI: "), F.upper("doi")))).alias("shouted"))
 
 
 @query("SELECT uid, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(title, 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS norm_title FROM records")
 def normalize_titles(spark, sf_dir):
-    return _records(spark, sf_dir).select("uid", column(normalize_title, "title").alias("norm_title"))
+    return records_of(spark, sf_dir).select("uid", column(normalize_title, "title").alias("norm_title"))
 
 
-@query("SELECT uid, CASE WHEN len(authors) = 0 THEN '' ELSE trim(regexp_replace(regexp_replace(lower(strip_accents(replace(split_part(authors[1], ',', 1), 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) END AS surname FROM records WHERE len(authors) = 0 OR authors[1] NOT LIKE ',%'")
+@query("SELECT uid, CASE WHEN len(authors) = 0 THEN '' ELSE trim(regexp_replace(regexp_replace(lower(strip_accents(replace(split_part(authors[1], ',', 1), 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) END AS surname FROM records")
 def surnames(spark, sf_dir):
     first = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
-    return _records(spark, sf_dir).select("uid", column(surname, first).alias("surname"))
+    return records_of(spark, sf_dir).select("uid", column(surname, first).alias("surname"))
 
 
 @query("SELECT uid, pages AS cleaned, regexp_extract(pages, '[0-9]+', 0) AS first_page, regexp_extract(pages, '[0-9]+', 0) AS digits, regexp_extract(pages, '^1-([0-9]{1,3})$', 1) NOT IN ('', '1') AS pseudo FROM records")
 def pages_fields(spark, sf_dir):
     spaced = F.replace("pages", F.lit("-"), F.lit(" -- "))
-    return _records(spark, sf_dir).select("uid", fields.clean_pages(spaced).alias("cleaned"), fields.first_page("pages").alias("first_page"), fields.page_digits("pages").alias("digits"), fields.pseudo_range("pages").alias("pseudo"))
+    return records_of(spark, sf_dir).select("uid", fields.clean_pages(spaced).alias("cleaned"), fields.first_page("pages").alias("first_page"), fields.page_digits("pages").alias("digits"), fields.pseudo_range("pages").alias("pseudo"))
 
 
 @query("SELECT uid, CASE WHEN year IS NULL THEN NULL ELSE year END AS y, CAST(cited_by AS INTEGER) AS n FROM records")
 def parse_numbers(spark, sf_dir):
-    return _records(spark, sf_dir).select("uid", fields.parse_year(F.concat(F.col("year").cast("string"), F.lit(".0"))).alias("y"), fields.parse_int(F.concat(F.col("cited_by").cast("string"), F.lit(".0"))).alias("n"))
+    return records_of(spark, sf_dir).select("uid", fields.parse_year(F.concat(F.col("year").cast("string"), F.lit(".0"))).alias("y"), fields.parse_int(F.concat(F.col("cited_by").cast("string"), F.lit(".0"))).alias("n"))
 
 
 @query("SELECT ps.p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'review' WHEN p_type LIKE '%TIN%' THEN 'conference' ELSE 'thesis' END AS mapped FROM part ps", records=False)
@@ -84,12 +64,12 @@ def doc_type_map(spark, sf_dir):
 @query("SELECT uid, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^ -~]', 'z', 'g') || ' Part ' || volume, '(?i)\\bq[1-4]\\b|\\b(?:part|vol|volume|no|number|issue|wave|round|edition|ed)\\.?\\s*(?:[ivxlcdm]+|\\d+)\\b'), lambda x: lower(x)))), '|') AS markers FROM records")
 def period_markers(spark, sf_dir):
     title = F.concat("title", F.lit(" Part "), "volume")
-    return _records(spark, sf_dir).select("uid", F.array_join(fields.period_markers(title), "|").alias("markers"))
+    return records_of(spark, sf_dir).select("uid", F.array_join(fields.period_markers(title), "|").alias("markers"))
 
 
 @query("SELECT uid, len(records.title) > 0 AND doi <> '' AND ord % 2 = 0 AS only_id, ord % 3 = 0 AS venue, ord % 4 = 0 AS mangled FROM records")
 def title_and_venue_flags(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     title = F.when((F.col("title") != "") & (F.col("doi") != "") & (F.col("ord") % 2 == 0), F.concat(F.lit(" doi: "), "doi")).otherwise("A plain title")
     venue = F.when(F.col("ord") % 3 == 0, "Annual Meeting of Things").otherwise("Things")
     pages = F.when(F.col("ord") % 4 == 0, "11-Sep").otherwise("11-9")
@@ -97,13 +77,13 @@ def title_and_venue_flags(spark, sf_dir):
 
 
 @query("SELECT ord, 9.0 * 0 + (CASE WHEN title <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doi <> '' THEN 1.0 ELSE 0 END) + 1.0 + 1.0 + (CASE WHEN pages <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doc_type <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN language <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN year IS NOT NULL THEN 1.0 ELSE 0 END) + (CASE WHEN len(authors) > 0 THEN 1.1 ELSE 0 END) + (CASE WHEN len(keywords) > 0 THEN 1.0 ELSE 0 END) + least(length(abstract), 3000) / 1000.0 > 8.5 AS rich FROM records")
-def rich_records(spark, sf_dir):
-    return _records(spark, sf_dir).select("ord", (fields.richness() > 8.5).alias("rich"))
+def richrecords_of(spark, sf_dir):
+    return records_of(spark, sf_dir).select("ord", (fields.richness() > 8.5).alias("rich"))
 
 
 @query("SELECT uid, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN pmid <> '' THEN 'pmid:' || pmid ELSE 'sid:' || source || ':' || source_id END AS key FROM records")
 def record_keys(spark, sf_dir):
-    return _records(spark, sf_dir).select("uid", fields.record_key(F.col("title")).alias("key"))
+    return records_of(spark, sf_dir).select("uid", fields.record_key(F.col("title")).alias("key"))
 
 
 # --- links, clusters
@@ -111,31 +91,28 @@ def record_keys(spark, sf_dir):
 
 @query("SELECT a.ord, b.owner, a.kind, a.value, b.members FROM (SELECT ord, 'doi' AS kind, doi AS value FROM records WHERE doi <> '' UNION ALL SELECT ord, 'pmid', pmid FROM records WHERE pmid <> '') a JOIN (SELECT kind, value, min(ord) AS owner, count(*) AS members FROM (SELECT ord, 'doi' AS kind, doi AS value FROM records WHERE doi <> '' UNION ALL SELECT ord, 'pmid', pmid FROM records WHERE pmid <> '') GROUP BY kind, value) b USING (kind, value) WHERE a.ord <> b.owner")
 def id_links(spark, sf_dir):
-    return identity.id_links(_records(spark, sf_dir)).select("ord", "owner", "kind", "value", "members")
+    return identity.id_links(records_of(spark, sf_dir)).select("ord", "owner", "kind", "value", "members")
 
 
 @query("""SELECT ord, least(min(ord) OVER (PARTITION BY CASE WHEN doi <> '' THEN doi ELSE uid END), min(ord) OVER (PARTITION BY CASE WHEN pmid <> '' THEN 'p' || pmid ELSE uid END)) AS cluster FROM records""")
 def id_components(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     return identity.clusters(r, identity.id_links(r), "owner", "ord")
 
 
 @query("SELECT count(*) AS works FROM (SELECT DISTINCT least(min(ord) OVER (PARTITION BY CASE WHEN doi <> '' THEN doi ELSE uid END), min(ord) OVER (PARTITION BY CASE WHEN pmid <> '' THEN 'p' || pmid ELSE uid END)) AS c FROM records)")
 def unique_works(spark, sf_dir):
     """How many works, by identifier."""
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     return identity.clusters(r, identity.id_links(r), "owner", "ord").agg(F.countDistinct("cluster").alias("works"))
 
 
-_NORM_SQL = "trim(regexp_replace(regexp_replace(lower(strip_accents(replace({}, 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
-
-
 @query(f"""SELECT DISTINCT least(a.ord, b.ord) AS i, greatest(a.ord, b.ord) AS j FROM
   (SELECT ord, token FROM (SELECT ord, token, df, row_number() OVER (PARTITION BY ord ORDER BY df, token) AS rk FROM
-     (SELECT ord, token, count(*) OVER (PARTITION BY token) AS df FROM (SELECT DISTINCT ord, unnest(string_split({_NORM_SQL.format("title")}, ' ')) AS token FROM records) WHERE length(token) > 2)) WHERE rk <= 4 AND df <= 400) a
-  JOIN (SELECT DISTINCT ord, unnest(string_split({_NORM_SQL.format("title")}, ' ')) AS token FROM records) b USING (token) WHERE a.ord <> b.ord""")
+     (SELECT ord, token, count(*) OVER (PARTITION BY token) AS df FROM (SELECT DISTINCT ord, unnest(string_split({NORM_SQL.format("title")}, ' ')) AS token FROM records) WHERE length(token) > 2)) WHERE rk <= 4 AND df <= 400) a
+  JOIN (SELECT DISTINCT ord, unnest(string_split({NORM_SQL.format("title")}, ' ')) AS token FROM records) b USING (token) WHERE a.ord <> b.ord""")
 def token_block_pairs(spark, sf_dir):
-    r = blocking.with_norms(_records(spark, sf_dir))
+    r = blocking.with_norms(records_of(spark, sf_dir))
     held = blocking.tokens(r)
     probes = blocking.ranked_tokens(held).where("df <= 400")
     return blocking._pairs(probes, held.join(probes.select("token").distinct(), "token", "left_semi"), "token")
@@ -143,47 +120,47 @@ def token_block_pairs(spark, sf_dir):
 
 @query()
 def candidate_pairs(spark, sf_dir):
-    return blocking.candidates(written(blocking.with_norms(_records(spark, sf_dir)).drop("abstract", "raw", "provenance")))
+    return blocking.candidates(written(blocking.with_norms(records_of(spark, sf_dir)).drop("abstract", "raw", "provenance")))
 
 
 @query()
 def pair_guards(spark, sf_dir):
     # normalised once, as in deduplication; candidates read it several times
-    r = blocking.with_norms(_records(spark, sf_dir)).withColumn("rich", fields.richness())
+    r = blocking.with_norms(records_of(spark, sf_dir)).withColumn("rich", fields.richness())
     r = written(r.select("ord", "title", "authors", "year", "pages", "volume", "journal", *match.IDS, "norm_title", "norm_journal", "author_key", "rich"))
     return match.pair_guards(blocking.candidates(r), match.facts(r), match.Options()).select("i", "j", "length_ok", "years_ok", "conflict", "separated_by", "conference")
 
 
 @query()
 def dedup_clusters(spark, sf_dir):
-    return dedup.deduplicate(_records(spark, sf_dir)).clusters
+    return dedup.deduplicate(records_of(spark, sf_dir)).clusters
 
 
 @query()
 def dedup_decisions(spark, sf_dir):
-    return dedup.deduplicate(_records(spark, sf_dir)).decisions.drop("place")
+    return dedup.deduplicate(records_of(spark, sf_dir)).decisions.drop("place")
 
 
 @query()
-def dedup_records(spark, sf_dir):
-    return dedup.deduplicate(_records(spark, sf_dir)).records.drop("provenance")
+def deduprecords_of(spark, sf_dir):
+    return dedup.deduplicate(records_of(spark, sf_dir)).records.drop("provenance")
 
 
 @query()
 def dedup_overlap(spark, sf_dir):
-    return dedup.deduplicate(_records(spark, sf_dir)).overlap
+    return dedup.deduplicate(records_of(spark, sf_dir)).overlap
 
 
 @query("SELECT least(a.source, b.source) AS source_a, greatest(a.source, b.source) AS source_b, count(*) AS n FROM (SELECT ord, source, min(ord) OVER (PARTITION BY CASE WHEN doi <> '' THEN doi ELSE uid END) AS c FROM records) a JOIN records b ON a.c = b.ord WHERE a.ord <> b.ord AND a.source <> b.source GROUP BY 1, 2")
 def overlap_by_doi(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     links = identity.id_links(r).where("kind = 'doi'")
     return dedup.overlap(r, identity.clusters(r, links, "owner", "ord"))
 
 
 @query("SELECT c AS ord, max(length(abstract)) AS longest, max(cited_by) AS cited_by, count(*) AS members FROM (SELECT *, min(ord) OVER (PARTITION BY CASE WHEN doi <> '' THEN doi ELSE uid END) AS c FROM records) GROUP BY c")
 def merged_by_doi(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     clusters = identity.clusters(r, identity.id_links(r).where("kind = 'doi'"), "owner", "ord")
     sizes = clusters.groupBy(F.col("cluster").alias("ord")).agg(F.count("*").alias("members"))
     return dedup.merge_clusters(r, clusters).join(sizes, "ord").select("ord", F.length("abstract").alias("longest"), "cited_by", "members")
@@ -192,10 +169,10 @@ def merged_by_doi(spark, sf_dir):
 # --- filters
 
 
-@query(f"SELECT uid FROM (SELECT uid, year, doc_type, {_NORM_SQL.format("title || ' ' || abstract || ' ' || array_to_string(keywords, ' ')")} AS hay FROM records) WHERE (year IS NULL OR year BETWEEN 1995 AND 2010) AND doc_type IN ('article', 'review') AND (hay LIKE '%ion%' OR hay LIKE '%eau%') AND (hay LIKE '%the%' OR hay LIKE '%ich%')")
+@query(f"SELECT uid FROM (SELECT uid, year, doc_type, {NORM_SQL.format("title || ' ' || abstract || ' ' || array_to_string(keywords, ' ')")} AS hay FROM records) WHERE (year IS NULL OR year BETWEEN 1995 AND 2010) AND doc_type IN ('article', 'review') AND (hay LIKE '%ion%' OR hay LIKE '%eau%') AND (hay LIKE '%the%' OR hay LIKE '%ich%')")
 def local_boolean_filter(spark, sf_dir):
     q = search.SearchQuery([["ion", "éau"], ["the", "ich"], []], years=(1995, 2010), doc_types=["article", "review"])
-    return q.filter(_records(spark, sf_dir)).select("uid")
+    return q.filter(records_of(spark, sf_dir)).select("uid")
 
 
 # --- reports
@@ -206,12 +183,12 @@ _PRESENT = {"doi": "doi <> ''", "abstract": "abstract <> ''", "year": "year IS N
 
 @query(f"SELECT source, count(*) AS n, {', '.join(f'100.0 * count(CASE WHEN {c} THEN 1 END) / count(*) AS pct_{f}' for f, c in _PRESENT.items())}, coalesce(avg(CASE WHEN abstract <> '' THEN length(abstract) END), 0) AS mean_abstract_len FROM records GROUP BY source")
 def quality_report(spark, sf_dir):
-    return reports.quality(_records(spark, sf_dir))
+    return reports.quality(records_of(spark, sf_dir))
 
 
 @query()
 def quality_report_rounded(spark, sf_dir):
-    return reports.quality_rounded(_records(spark, sf_dir))
+    return reports.quality_rounded(records_of(spark, sf_dir))
 
 
 @query(f"WITH {SEARCHES_SQL} SELECT database, CAST(sum(records_retrieved) AS BIGINT) AS records FROM searches GROUP BY database", records=False)
@@ -220,15 +197,15 @@ def identified_by_source(spark, sf_dir):
 
 
 @query(f"""WITH {SEARCHES_SQL}, named AS (SELECT *, CASE database WHEN 'PubMed (via NCBI)' THEN 'PubMed/MEDLINE' WHEN 'OpenAlex API' THEN 'OpenAlex' WHEN 'Clarivate Web of Science' THEN 'Web of Science Core Collection' ELSE database END AS source FROM searches)
-SELECT source, CASE source WHEN 'OpenAlex' THEN 'supplementary' WHEN 'My Library' THEN 'unknown' ELSE 'principal' END AS tier, CAST(sum(records_retrieved) AS BIGINT) AS records, count(*) AS searches, sum(records_retrieved) / (SELECT sum(records_retrieved) FROM searches) AS share FROM named GROUP BY source""", records=False)
+SELECT source, CASE source WHEN 'OpenAlex' THEN 'supplementary' WHEN 'My Library' THEN 'unknown' ELSE 'principal' END AS tier, CAST(sum(records_retrieved) AS BIGINT) AS records, count(*) AS searches, [min(database)] AS names_seen, sum(records_retrieved) / (SELECT sum(records_retrieved) FROM searches) AS share FROM named GROUP BY source""", records=False)
 def source_audit(spark, sf_dir):
-    return reports.source_audit(_searches(spark, sf_dir)).drop("names_seen")
+    return reports.source_audit(_searches(spark, sf_dir))
 
 
 @query("SELECT CASE WHEN ord % 5 = 0 THEN 'retracted' WHEN ord % 5 = 1 THEN 'erratum' WHEN ord % 5 = 2 THEN 'concern' WHEN ord % 5 = 3 THEN 'withdrawn' END AS flag, count(*) AS n FROM records WHERE ord % 5 < 4 GROUP BY 1")
 def integrity_flags(spark, sf_dir):
     lead = F.get(F.array(*map(F.lit, ["RETRACTED: ", "Corrigendum to ", "Expression of  concern about ", "Withdrawn - ", "On "])), (F.col("ord") % 5).cast("int"))
-    return reports.integrity_counts(_records(spark, sf_dir).withColumns({"title": F.concat(lead, "title"), "doc_type": F.lit("")}))
+    return reports.integrity_counts(records_of(spark, sf_dir).withColumns({"title": F.concat(lead, "title"), "doc_type": F.lit("")}))
 
 
 _CITED = "cited AS (SELECT DISTINCT ord, substr(key, 5) AS doi FROM (SELECT ord, 'doi:' || unnest(list_filter(refs, lambda x: x LIKE '10.5555/%')) AS key FROM records))"
@@ -236,34 +213,34 @@ _CITED = "cited AS (SELECT DISTINCT ord, substr(key, 5) AS doi FROM (SELECT ord,
 
 @query(f", {_CITED} SELECT doi, count(*) AS n FROM cited GROUP BY doi")
 def cited_dois(spark, sf_dir):
-    return reports.cited_dois(_records(spark, sf_dir))
+    return reports.cited_dois(records_of(spark, sf_dir))
 
 
 @query(f", {_CITED} SELECT doi, count(*) AS n FROM cited WHERE doi NOT IN (SELECT doi FROM records) GROUP BY doi HAVING count(*) >= 2")
 def cited_but_absent(spark, sf_dir):
-    return reports.cited_but_absent(_records(spark, sf_dir), 2)
+    return reports.cited_but_absent(records_of(spark, sf_dir), 2)
 
 
 @query("SELECT count(*) AS records, count(*) AS records_with_references, CAST(2 * count(*) AS BIGINT) AS reference_entries, count(*) AS entries_with_doi FROM records")
 def reference_coverage(spark, sf_dir):
-    return reports.reference_coverage(_records(spark, sf_dir))
+    return reports.reference_coverage(records_of(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS n, {', '.join(f'100.0 * count(CASE WHEN {c} THEN 1 END) / count(*) AS pct_{f}' for f, c in (_PRESENT | {'pmid': chr(112) + 'mid <> ' + chr(39) * 2, 'journal': 'true', 'pages': 'pages <> ' + chr(39) * 2, 'volume': 'true'}).items() if f in ('doi', 'pmid', 'abstract', 'authors', 'year', 'journal', 'pages', 'volume'))}, median(len(list_filter(string_split(title, ' '), lambda x: x <> ''))) AS median_title_words, median(len(authors)) AS median_authors, CAST(0 AS DOUBLE) AS pct_preprint FROM records")
+@query(f"SELECT count(*) AS n, {', '.join(f'100.0 * count(CASE WHEN {c} THEN 1 END) / count(*) AS pct_{f}' for f, c in (_PRESENT | {'pmid': chr(112) + 'mid <> ' + chr(39) * 2, 'journal': 'true', 'pages': 'pages <> ' + chr(39) * 2, 'volume': 'true'}).items() if f in ('doi', 'pmid', 'abstract', 'authors', 'year', 'journal', 'pages', 'volume'))}, median(len(list_filter(string_split(title, ' '), lambda x: x <> ''))) AS median_title_words, median(len(authors)) AS median_authors, CAST(0 AS DOUBLE) AS pct_preprint, 100.0 * count(CASE WHEN strip_accents(title) <> title OR regexp_matches(title, '[łŁøØđßæœ]') THEN 1 END) / count(*) AS pct_diacritics FROM records")
 def corpus_profile(spark, sf_dir):
-    return reports.corpus_profile(_records(spark, sf_dir)).drop("pct_diacritics")
+    return reports.corpus_profile(records_of(spark, sf_dir))
 
 
 @query("SELECT uid, doi, CASE WHEN doi = '' THEN 'no_doi' WHEN doi NOT IN (SELECT doi FROM records WHERE ord % 3 < 2 AND doi <> '') THEN 'not_found' WHEN doi IN (SELECT doi FROM records WHERE ord % 3 = 0 AND doi <> '') THEN 'retracted' ELSE 'checked' END AS status FROM records")
 def retraction_join(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     works = r.where("ord % 3 < 2 and doi <> ''").select(F.concat(F.lit("https://doi.org/"), "doi").alias("doi"), F.lit("journal-article").alias("type"), F.when(F.col("ord") % 3 == 0, F.array(F.lit("Retraction"))).otherwise(F.array().cast("array<string>")).alias("updated_by"), F.array().cast("array<string>").alias("update_to"))
     return reports.retractions(r, works)
 
 
 @query("SELECT ord, CASE WHEN ord = last AND length(abstract) < 250 THEN length(abstract) + 300 ELSE length(abstract) END AS n FROM (SELECT *, CASE WHEN doi = '' THEN -1 ELSE max(CASE WHEN length(abstract) < 250 THEN ord END) OVER (PARTITION BY doi) END AS last FROM records)")
 def enrich_left_join(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     long_ = F.concat("abstract", F.repeat(F.lit("x"), F.lit(300)))
     works = r.where("doi <> ''").groupBy("doi").agg(F.first(long_).alias("t")).select("doi", F.lit("W1").alias("openalex_id"), F.lit("").alias("pmid"), F.create_map("t", F.array(F.lit(0))).alias("inverted"))
     return reports.recover_abstracts(r, works).select("ord", F.length("abstract").alias("n"))
@@ -271,49 +248,78 @@ def enrich_left_join(spark, sf_dir):
 
 @query("SELECT uid, array_to_string(list_filter(string_split(title, ' '), lambda x: x <> ''), ' ') AS text FROM records")
 def abstract_rebuild(spark, sf_dir):
-    words = _records(spark, sf_dir).select("uid", F.posexplode_outer(F.filter(F.split("title", " "), lambda w: w != "")))
+    words = records_of(spark, sf_dir).select("uid", F.posexplode_outer(F.filter(F.split("title", " "), lambda w: w != "")))
     entries = words.groupBy("uid", "col").agg(F.collect_list("pos").alias("at")).groupBy("uid").agg(F.map_from_entries(F.collect_list(F.when(F.col("col").isNotNull(), F.struct("col", "at")))).alias("m"))
     return entries.select("uid", fields.rebuilt_abstract(F.col("m")).alias("text"))
 
 
-@query("SELECT 1000 AS identified, 100 AS duplicates_removed, CAST(900 AS BIGINT) AS records_screened, CAST(200 AS BIGINT) AS reports_assessed, 0 AS n_problems", records=False)
+@query("""SELECT n AS identified, d AS duplicates_removed, n - d AS records_screened, e AS records_excluded, n - d - e AS reports_sought, r AS reports_not_retrieved, n - d - e - r AS reports_assessed, CAST(CASE WHEN n - d - e - r - 1 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS n_problems
+FROM (SELECT count(*) AS n, count(*) - count(DISTINCT CASE WHEN doi <> '' THEN doi ELSE uid END) AS d, count(CASE WHEN year < 2000 THEN 1 END) AS e, count(CASE WHEN pages = '' AND year >= 2010 THEN 1 END) AS r FROM records)""")
 def prisma_counts(spark, sf_dir):
-    row = reports.flow(spark, identified=1000, duplicates_removed=100, records_excluded=690, reports_not_retrieved=10, fulltext_excluded=150, studies_included=50)
-    return row.select("identified", "duplicates_removed", "records_screened", "reports_assessed", F.size("problems").alias("n_problems"))
+    """A flow whose counts come from the records; one study less than assessed is a problem that it must name."""
+    r = records_of(spark, sf_dir)
+    got = r.agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col("uid"))).alias("u"), F.count(F.when(F.col("year") < 2000, 1)).alias("e"), F.count(F.when((F.col("pages") == "") & (F.col("year") >= 2010), 1)).alias("r")).first()
+    row = reports.flow(spark, identified=got["n"], duplicates_removed=got["n"] - got["u"], records_excluded=got["e"], reports_not_retrieved=got["r"], studies_included=1)
+    return row.select("identified", "duplicates_removed", "records_screened", "records_excluded", "reports_sought", "reports_not_retrieved", "reports_assessed", F.size("problems").alias("n_problems"))
 
 
 # --- harvests
 
 
-@query()
+def _two_harvests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records keyed by place alone; in the second some have come, gone, changed or got other counters."""
+    r = records_of(spark, sf_dir).withColumns({"doi": F.lit(""), "pmid": F.lit(""), "source": F.lit(""), "cited_by": F.lit(0)})
+    after = r.where("ord % 10 <> 2").withColumns({"volume": F.when(F.col("ord") % 11 == 0, "changed").otherwise(F.col("volume")), "cited_by": F.when(F.col("ord") % 7 == 0, 5).otherwise(F.col("cited_by"))})
+    return r.where("ord % 10 <> 1"), after
+
+
+_SURNAME = f"CASE WHEN len(authors) = 0 THEN '' ELSE {NORM_SQL.format("split_part(authors[1], ',', 1)")} END"
+_PAYLOAD = """'{"doc_type":"' || lower(trim(doc_type)) || '","doi":"' || doi || '","first_author_surname":"' || surname || '","has_abstract":' || CASE WHEN trim(abstract) <> '' THEN 'true' ELSE 'false' END || ',"issn":"","issue":"","language":"' || lower(trim(language)) || '","n_authors":' || len(authors) || ',"norm_journal":"' || nj || '","norm_title":"' || nt || '","openalex_id":"","pages":"' || pages || '","pmid":"' || pmid || '","scopus_id":"","volume":"' || volume || '","year":' || coalesce(CAST(year AS VARCHAR), 'null') || '}'"""
+_SUMS = f"""sums AS (SELECT ord, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN pmid <> '' THEN 'pmid:' || pmid ELSE 'sid:' || source || ':' || source_id END AS key, sha256({_PAYLOAD}) AS checksum
+  FROM (SELECT *, {_SURNAME} AS surname, {NORM_SQL.format("journal")} AS nj, {NORM_SQL.format("title")} AS nt FROM records))"""
+
+
+@query(f", {_SUMS} SELECT * FROM sums")
 def record_checksums(spark, sf_dir):
-    return harvest.fingerprints(_records(spark, sf_dir)).select("ord", "key", "checksum")
+    return harvest.fingerprints(records_of(spark, sf_dir)).select("ord", "key", "checksum")
 
 
-@query()
+@query(f""", {_SUMS} SELECT sha256('["' || string_agg(checksum, '","' ORDER BY checksum) || '"]') AS checksum FROM sums""")
 def corpus_checksum(spark, sf_dir):
-    return harvest.corpus_checksum(harvest.fingerprints(_records(spark, sf_dir)))
+    return harvest.corpus_checksum(harvest.fingerprints(records_of(spark, sf_dir)))
+
+
+@query(f""", {_SUMS} SELECT sha256(string_agg(s, ',' ORDER BY lead)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT substr(checksum, 1, 1) AS lead, sha256(string_agg(checksum || ':' || n, ',' ORDER BY checksum)) AS s, sum(n) AS n FROM (SELECT checksum, count(*) AS n FROM sums GROUP BY checksum) GROUP BY 1)""")
+def corpus_digest(spark, sf_dir):
+    return harvest.corpus_digest(harvest.fingerprints(records_of(spark, sf_dir)))
 
 
 @query("""SELECT key, change FROM (SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN a.o % 11 = 0 THEN 'changed' WHEN a.o % 7 = 0 THEN 'counters' ELSE 'unchanged' END AS change
 FROM (SELECT 'sid::' || CAST(ord AS VARCHAR) AS key, ord AS o FROM records WHERE ord % 10 <> 1) a FULL JOIN (SELECT 'sid::' || CAST(ord AS VARCHAR) AS key, ord AS o FROM records WHERE ord % 10 <> 2) b ON a.key = b.key)""")
 def harvest_drift(spark, sf_dir):
-    r = _records(spark, sf_dir).withColumns({"doi": F.lit(""), "pmid": F.lit(""), "source": F.lit(""), "cited_by": F.lit(0)})
-    after = r.where("ord % 10 <> 2").withColumns({"volume": F.when(F.col("ord") % 11 == 0, "changed").otherwise(F.col("volume")), "cited_by": F.when(F.col("ord") % 7 == 0, 5).otherwise(F.col("cited_by"))})
-    return harvest.drift(harvest.fingerprints(r.where("ord % 10 <> 1")), harvest.fingerprints(after)).select("key", "change")
+    r, after = _two_harvests(spark, sf_dir)
+    return harvest.drift(harvest.fingerprints(r), harvest.fingerprints(after)).select("key", "change")
+
+
+@query("""SELECT count(CASE WHEN k <> 2 OR ord % 10 <> 2 THEN 1 END) - count(CASE WHEN ord % 10 = 1 THEN 1 END) AS n_before, count(*) - count(CASE WHEN ord % 10 = 2 THEN 1 END) AS n_after, count(CASE WHEN ord % 10 = 1 THEN 1 END) AS added, count(CASE WHEN ord % 10 = 2 THEN 1 END) AS removed,
+  count(CASE WHEN ord % 10 NOT IN (1, 2) AND ord % 11 = 0 THEN 1 END) AS changed, count(CASE WHEN ord % 10 NOT IN (1, 2) AND ord % 11 <> 0 AND ord % 7 = 0 THEN 1 END) AS counters, count(CASE WHEN ord % 10 NOT IN (1, 2) AND ord % 11 <> 0 AND ord % 7 <> 0 THEN 1 END) AS unchanged, false AS stable FROM (SELECT *, 0 AS k FROM records)""")
+def drift_counts(spark, sf_dir):
+    r, after = _two_harvests(spark, sf_dir)
+    return harvest.drift_counts(harvest.drift(harvest.fingerprints(r), harvest.fingerprints(after)))
 
 
 @query("SELECT uid, sha256('[\"https://x.org/q\",{\"page\":\"' || source_id || '\",\"q\":\"a b\"}]') AS key FROM records")
 def request_keys(spark, sf_dir):
     params = F.create_map(F.lit("q"), F.lit("a b"), F.lit("page"), F.col("source_id"), F.lit("apiKey"), F.lit("secret"), F.lit("mailto"), F.lit("me@x.org"))
-    return _records(spark, sf_dir).select("uid", harvest.request_key(F.lit(" https://x.org/q"), params).alias("key"))
+    return records_of(spark, sf_dir).select("uid", harvest.request_key(F.lit(" https://x.org/q"), params).alias("key"))
 
 
-@query(f"SELECT ord, row_number() OVER (ORDER BY doi, {_NORM_SQL.format('title')}, coalesce(year, -1), source, source_id, ord) AS place FROM records")
-def sort_records(spark, sf_dir):
+@query(f"SELECT ord, row_number() OVER (ORDER BY doi, {NORM_SQL.format('title')}, coalesce(year, -1), source, source_id, ord) AS place FROM records")
+def sortrecords_of(spark, sf_dir):
     from ..schema import numbered
 
-    r = _records(spark, sf_dir).withColumns({"given": F.col("ord"), "t": column(normalize_title, "title"), "y": F.coalesce("year", F.lit(-1))})
+    r = records_of(spark, sf_dir).withColumns({"given": F.col("ord"), "t": column(normalize_title, "title"), "y": F.coalesce("year", F.lit(-1))})
     return numbered(r, "doi", "t", "y", "source", "source_id", "given").select(F.col("given").alias("ord"), (F.col("ord") + 1).alias("place"))
 
 
@@ -323,68 +329,67 @@ def sort_records(spark, sf_dir):
 _TRUTH = "truth AS (SELECT uid, doi AS work FROM records WHERE doi <> ''), clusters AS (SELECT uid, title AS cluster FROM records)"
 
 
-@query(f", {_TRUTH} SELECT CAST(sum(CASE WHEN a.work = b.work THEN 1 ELSE 0 END) AS BIGINT) AS pair_tp, CAST(sum(CASE WHEN a.work <> b.work THEN 1 ELSE 0 END) AS BIGINT) AS pair_fp FROM (truth JOIN clusters USING (uid)) a JOIN (truth JOIN clusters USING (uid)) b ON a.cluster = b.cluster AND a.uid < b.uid")
+@query(f""", {_TRUTH}, n AS (SELECT CAST(sum(CASE WHEN a.work = b.work AND a.cluster = b.cluster THEN 1 ELSE 0 END) AS BIGINT) AS pair_tp, CAST(sum(CASE WHEN a.work <> b.work THEN 1 ELSE 0 END) AS BIGINT) AS pair_fp,
+  CAST(sum(CASE WHEN a.work = b.work AND a.cluster <> b.cluster THEN 1 ELSE 0 END) AS BIGINT) AS pair_fn FROM (truth JOIN clusters USING (uid)) a JOIN (truth JOIN clusters USING (uid)) b ON (a.cluster = b.cluster OR a.work = b.work) AND a.uid < b.uid)
+SELECT pair_tp, pair_fp, pair_fn, pair_tp + pair_fn AS pair_truth, pair_tp / (pair_tp + pair_fp) AS precision, pair_tp / (pair_tp + pair_fn) AS recall, 2.0 * pair_tp / (2 * pair_tp + pair_fp + pair_fn) AS f1 FROM n""")
 def pair_metrics(spark, sf_dir):
-    r = _records(spark, sf_dir)
-    return validate.pair_metrics(r.select("uid", F.col("title").alias("cluster")), validate.truth(r)).select("pair_tp", "pair_fp")
+    r = records_of(spark, sf_dir)
+    return validate.pair_metrics(r.select("uid", F.col("title").alias("cluster")), validate.truth(r))
 
 
 @query(f", {_TRUTH}, j AS (SELECT *, uid = min(uid) OVER (PARTITION BY work) AS is_first FROM truth JOIN clusters USING (uid)), k AS (SELECT *, uid = coalesce(min(CASE WHEN is_first THEN uid END) OVER (PARTITION BY cluster), min(uid) OVER (PARTITION BY cluster)) AS keep FROM j) SELECT count(CASE WHEN NOT is_first AND NOT keep THEN 1 END) AS rec_tp, count(CASE WHEN is_first AND keep THEN 1 END) AS rec_tn, count(CASE WHEN is_first AND NOT keep THEN 1 END) AS rec_fp, count(CASE WHEN NOT is_first AND keep THEN 1 END) AS rec_fn FROM k")
 def record_metrics(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     return validate.record_metrics(r.select("uid", F.col("title").alias("cluster")), validate.truth(r)).select("rec_tp", "rec_tn", "rec_fp", "rec_fn")
 
 
 @query("SELECT n AS size, count(*) AS works FROM (SELECT doi, count(*) AS n FROM records WHERE doi <> '' GROUP BY doi) GROUP BY n")
 def truth_groups(spark, sf_dir):
-    return validate.truth_shape(validate.truth(_records(spark, sf_dir)))
+    return validate.truth_shape(validate.truth(records_of(spark, sf_dir)))
 
 
 
 
 @query("SELECT a.work AS work_a, b.work AS work_b, a.volume AS cluster FROM (SELECT DISTINCT doi AS work, volume FROM records WHERE doi <> '') a JOIN (SELECT DISTINCT doi AS work, volume FROM records WHERE doi <> '') b ON a.volume = b.volume AND a.work < b.work")
 def false_pairs(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     return validate.false_pairs(r.select("uid", F.col("volume").alias("cluster")), validate.truth(r)).select("work_a", "work_b", "cluster")
 
 
 @query("SELECT a.work, a.source AS cluster_a, b.source AS cluster_b FROM (SELECT DISTINCT doi AS work, source FROM records WHERE doi <> '') a JOIN (SELECT DISTINCT doi AS work, source FROM records WHERE doi <> '') b ON a.work = b.work AND a.source < b.source")
 def missed_pairs(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     return validate.missed_pairs(r.select("uid", F.col("source").alias("cluster")), validate.truth(r)).select("work", "cluster_a", "cluster_b")
 
 
 @query("SELECT uid, array_to_string(w[1:greatest(4, CAST(floor(len(w) * 0.6) AS BIGINT))], ' ') AS title FROM (SELECT uid, list_filter(string_split(title, ' '), lambda x: x <> '') AS w FROM records) WHERE len(w) >= 8")
 def perturb_truncated(spark, sf_dir):
-    return validate.damaged(_records(spark, sf_dir), "truncated_title").select("uid", "title")
+    return validate.damaged(records_of(spark, sf_dir), "truncated_title").select("uid", "title")
 
 
 @query("SELECT uid, CASE WHEN b BETWEEN 1 AND 12 AND a BETWEEN 1 AND 31 THEN CAST(a AS VARCHAR) || '-' || m[b] ELSE m[a] || '-' || lpad(CAST(b AS VARCHAR), 2, '0') END AS pages FROM (SELECT uid, CAST(split_part(pages, '-', 1) AS INTEGER) AS a, CAST(split_part(pages, '-', 2) AS INTEGER) AS b, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'] AS m FROM records WHERE pages <> '') WHERE (b BETWEEN 1 AND 12 AND a BETWEEN 1 AND 31) OR (a BETWEEN 1 AND 12 AND b BETWEEN 1 AND 99)")
 def perturb_excel_pages(spark, sf_dir):
-    return validate.damaged(_records(spark, sf_dir), "excel_mangled_pages").select("uid", "pages")
+    return validate.damaged(records_of(spark, sf_dir), "excel_mangled_pages").select("uid", "pages")
 
 
-@query("SELECT uid, upper(title) AS title FROM records WHERE title <> '' AND title <> upper(title) AND title NOT LIKE '%ß%'")
-def perturb_uppercase(spark, sf_dir):
-    return validate.damaged(_records(spark, sf_dir).where(~F.col("title").contains("ß")), "uppercase_title").select("uid", "title")
+_UPPER = "upper(replace(title, 'ß', 'SS'))"
 
 
-@query()
-def perturb_uppercase_all(spark, sf_dir):
-    """All titles; the SQL of perturb_uppercase leaves out those with ß."""
-    return validate.damaged(_records(spark, sf_dir), "uppercase_title").select("uid", "title")
+@query(f"SELECT uid, {_UPPER} AS title FROM records WHERE title <> '' AND title <> {_UPPER}")
+def perturb_uppercase(spark, sf_dir):
+    return validate.damaged(records_of(spark, sf_dir), "uppercase_title").select("uid", "title")
 
 
 @query("SELECT a.ord AS i, b.ord AS j, jaro_winkler_similarity(regexp_replace(a.journal, '[^ -~]', '?', 'g'), regexp_replace(b.journal, '[^ -~]', '?', 'g')) AS sim_journal FROM records a JOIN records b ON b.ord = a.ord + 1")
 def jaro_winkler(spark, sf_dir):
-    r = _records(spark, sf_dir).select("ord", F.regexp_replace("journal", "[^ -~]", "?").alias("journal"))
+    r = records_of(spark, sf_dir).select("ord", F.regexp_replace("journal", "[^ -~]", "?").alias("journal"))
     pairs = r.select(F.col("ord").alias("i"), (F.col("ord") + 1).alias("j"), F.col("journal").alias("a_journal")).join(r.select(F.col("ord").alias("j"), F.col("journal").alias("b_journal")), "j")
     return validate.similarities(pairs, ("journal",)).select("i", "j", "sim_journal")
 
 
 @query()
 def comparison_rule(spark, sf_dir):
-    r = _records(spark, sf_dir)
+    r = records_of(spark, sf_dir)
     author = F.coalesce(F.get("authors", F.lit(0)), F.lit(""))
     values = {"title": F.col("title"), "abstract": F.col("abstract"), "author": author, "journal": F.col("journal"), "isbn": F.lit(""), "pages": F.col("pages"), "volume": F.col("volume"), "number": F.col("issue"), "doi": F.col("doi"), "year": F.col("year")}
     side = lambda p, n: r.select(F.col("ord").alias(n), *[v.alias(f"{p}_{c}") for c, v in values.items()])
@@ -395,37 +400,29 @@ def comparison_rule(spark, sf_dir):
 # --- exports
 
 
-@query("SELECT uid AS record_id, CASE WHEN substr(title, 1, 1) IN ('=', '+', '-', '@') THEN '''' || title ELSE title END AS title, array_to_string(authors, '; ') AS authors, coalesce(CAST(year AS VARCHAR), '') AS year, doi FROM records WHERE len(authors) = 0 OR substr(authors[1], 1, 1) NOT IN ('=', '+', '-', '@')")
-def export_screening(spark, sf_dir):
-    r = _records(spark, sf_dir).where(~F.coalesce(F.substring(F.get("authors", F.lit(0)), 1, 1).isin("=", "+", "-", "@"), F.lit(False)))
-    return export.screening_frame(r).select("record_id", "title", "authors", "year", "doi")
+_CELL = "CASE WHEN substr({0}, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN chr(39) || {0} ELSE {0} END"
 
 
-@query()
-def export_screening_all(spark, sf_dir):
-    """All records; the SQL of export_screening leaves out authors that the formula guard quotes."""
-    return export.screening_frame(_records(spark, sf_dir))
+@query(f"SELECT ord, uid AS record_id, {_CELL.format('title')} AS title, {_CELL.format('abstract')} AS abstract, {_CELL.format("array_to_string(authors, '; ')")} AS authors, coalesce(CAST(year AS VARCHAR), '') AS year, doi FROM records")
+def export_screening(spark, sf_dir):
+    return export.screening_frame(records_of(spark, sf_dir))
 
 
 @query("SELECT ord, split_part(pages, '-', 1) AS page_start, split_part(pages, '-', 2) AS page_end, CASE WHEN doi <> '' THEN 'record:' || doi WHEN pmid <> '' THEN 'record:pmid:' || pmid ELSE 'record:srcid:' || source_id END AS eid, CASE doc_type WHEN 'article' THEN 'Article' WHEN 'review' THEN 'Review' ELSE '' END AS kind FROM records")
 def export_scopus_csv(spark, sf_dir):
-    return export.scopus_frame(_records(spark, sf_dir)).select("ord", F.col("Page start").alias("page_start"), F.col("Page end").alias("page_end"), F.col("EID").alias("eid"), F.col("Document Type").alias("kind"))
+    return export.scopus_frame(records_of(spark, sf_dir)).select("ord", F.col("Page start").alias("page_start"), F.col("Page end").alias("page_end"), F.col("EID").alias("eid"), F.col("Document Type").alias("kind"))
 
 
-@query("""SELECT ord, 'TY  - JOUR' || chr(10) || CASE WHEN len(authors) > 0 THEN 'AU  - ' || authors[1] || chr(10) ELSE '' END || CASE WHEN title <> '' THEN 'TI  - ' || title || chr(10) ELSE '' END || CASE WHEN year IS NOT NULL THEN 'PY  - ' || CAST(year AS VARCHAR) || chr(10) ELSE '' END || 'T2  - ' || journal || chr(10) || CASE WHEN doi <> '' THEN 'DO  - ' || doi || chr(10) ELSE '' END || 'VL  - ' || volume || chr(10) || CASE WHEN pages <> '' THEN 'SP  - ' || split_part(pages, '-', 1) || chr(10) || 'EP  - ' || split_part(pages, '-', 2) || chr(10) ELSE '' END || CASE WHEN len(keywords) > 0 THEN array_to_string(list_transform(keywords, lambda k: 'KW  - ' || k), chr(10)) || chr(10) ELSE '' END || CASE WHEN language <> '' THEN 'LA  - ' || language || chr(10) ELSE '' END || 'ID  - ' || uid || chr(10) || 'ER  - ' || chr(10) AS text FROM records""")
+@query("""SELECT ord, 'TY  - JOUR' || chr(10) || CASE WHEN len(authors) > 0 THEN 'AU  - ' || authors[1] || chr(10) ELSE '' END || CASE WHEN title <> '' THEN 'TI  - ' || title || chr(10) ELSE '' END || CASE WHEN abstract <> '' THEN 'AB  - ' || abstract || chr(10) ELSE '' END || CASE WHEN year IS NOT NULL THEN 'PY  - ' || CAST(year AS VARCHAR) || chr(10) ELSE '' END || 'T2  - ' || journal || chr(10) || CASE WHEN doi <> '' THEN 'DO  - ' || doi || chr(10) ELSE '' END || 'VL  - ' || volume || chr(10) || CASE WHEN pages <> '' THEN 'SP  - ' || split_part(pages, '-', 1) || chr(10) || 'EP  - ' || split_part(pages, '-', 2) || chr(10) ELSE '' END || CASE WHEN len(keywords) > 0 THEN array_to_string(list_transform(keywords, lambda k: 'KW  - ' || k), chr(10)) || chr(10) ELSE '' END || CASE WHEN language <> '' THEN 'LA  - ' || language || chr(10) ELSE '' END || 'ID  - ' || uid || chr(10) || 'ER  - ' || chr(10) AS text FROM records""")
 def export_ris(spark, sf_dir):
-    return _records(spark, sf_dir).withColumn("abstract", F.lit("")).select("ord", export.ris_text().alias("text"))
-
-
-@query()
-def export_ris_full(spark, sf_dir):
-    """With abstracts, which the SQL of export_ris leaves out."""
-    return _records(spark, sf_dir).select("ord", export.ris_text().alias("text"))
+    return records_of(spark, sf_dir).select("ord", export.ris_text().alias("text"))
 
 
 @query()
 def export_bibtex(spark, sf_dir):
-    return export.bibtex_frame(_records(spark, sf_dir))
+    return export.bibtex_frame(records_of(spark, sf_dir))
 
 
 FLAGSHIP = "unique_works"
+
+from . import formats  # noqa: E402, F401  (it registers its queries)

@@ -65,7 +65,7 @@ def from_documents(documents: DataFrame) -> DataFrame:
     """Records made from documents: identifiers, years, pages and authors are synthetic, made from the text, so that
     copies agree on them. ``RECORDS_SQL`` says the same in SQL."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select("doc_id", "lang", "source", text.alias("t"), F.md5(text).alias("h"), F.length(text).alias("n"), F.filter(F.split(F.substring(text, 1, 400), r"[ \n\t\r]+", -1), lambda x: x != "").alias("w"))
+    docs = documents.select("doc_id", "lang", "source", text.alias("t"), F.md5(text).alias("h"), F.length(text).alias("n"), F.slice(F.filter(F.split(text, r"[ \n\t\r]+", 17), lambda x: x != ""), 1, 15).alias("w"))
     word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
     out = docs.select(
         F.col("doc_id").alias("ord"),
@@ -105,5 +105,5 @@ RECORDS_SQL = r"""records AS (
     CASE WHEN n % 2 = 0 THEN CAST(n % 100 AS INTEGER) END AS cited_by,
     CASE WHEN coalesce(w[14], '') = '' THEN [] ELSE [w[14] || ', ' || upper(substr(coalesce(w[15], ''), 1, 1))] END AS authors,
     w[3:4] AS keywords, ['10.5555/' || substr(md5(coalesce(w[1], '')), 1, 12), 'Some Work, ' || coalesce(w[3], '')] AS refs
-  FROM (SELECT *, md5(t) AS h, length(t) AS n, list_filter(regexp_split_to_array(substr(t, 1, 400), '[ \n\t\r]+'), lambda x: x <> '') AS w
+  FROM (SELECT *, md5(t) AS h, length(t) AS n, list_filter(regexp_split_to_array(t, '[ \n\t\r]+'), lambda x: x <> '') AS w
     FROM (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents)))"""

@@ -27,6 +27,8 @@ from ..functions.text import author_name, collapse, display_name, split_authors,
 from ..schema import LISTS, RECORD, STRINGS
 
 REASONS = ("no_content", "empty", "malformed", "truncated", "unreadable")
+#: Beside rejected stanzas, files have notes: characters replaced, a format forced against the content, no records at all.
+NOTE = "note"
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ class Rejection:
 
 # --- bytes
 
-#: First bytes -> what such a file is; first bytes -> encoding.
+#: First bytes -> what such a file is; first bytes -> encoding.
 MAGIC = [(b"%PDF-", "PDF"), (b"PK\x03\x04", "ZIP"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "OLE2"), (b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\x89PNG", "PNG"), (b"\xff\xd8\xff", "JPEG"), (b"SQLite format 3\x00", "SQLite")]
 BOMS = [(b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xef\xbb\xbf", "utf-8-sig"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")]
 
@@ -192,9 +194,19 @@ def stanzas(text: str, tag: re.Pattern, opens: str = "", closes: str = "", blank
 # --- RIS
 
 RIS_TAG = re.compile(r"^([A-Z][A-Z0-9])  ?- ?(.*)$")
+#: What the format's types are called here; each dialect's journal tags, in order.
 RIS_TYPES = {"JOUR": "article", "JFULL": "article", "EJOUR": "article", "CONF": "conference", "CPAPER": "conference", "CHAP": "chapter", "BOOK": "book", "THES": "thesis", "RPRT": "report", "GEN": "", "ABST": "article"}
-RIS_JOURNAL = {"generic": "JF JO T2 J2 JA", "scopus": "T2 JF JO J2", "embase": "T2 JF JO J2", "central": "T2 JF JO J2", "ebsco": "JF T2 JO J2", "proquest": "JF T2 JO J2", "wos": "T2 JO JF", "zotero": "T2 JF JO"}
-#: What a platform's database label contains, and its accession prefixes -> the database.
+RIS_JOURNAL = {
+    "generic": ["JF", "JO", "T2", "J2", "JA"],
+    "scopus": ["T2", "JF", "JO", "J2"],
+    "embase": ["T2", "JF", "JO", "J2"],
+    "central": ["T2", "JF", "JO", "J2"],
+    "ebsco": ["JF", "T2", "JO", "J2"],
+    "proquest": ["JF", "T2", "JO", "J2"],
+    "wos": ["T2", "JO", "JF"],
+    "zotero": ["T2", "JF", "JO"],
+}
+#: What a platform's database label contains, and its accession prefixes -> the database.
 EBSCO_LABELS = [("business source", "Business Source"), ("bsc", "Business Source"), ("psycinfo", "PsycINFO"), ("psycharticles", "PsycARTICLES"), ("cinahl", "CINAHL"), ("eric", "ERIC"), ("academic search", "Academic Search"), ("medline", "MEDLINE"), ("sportdiscus", "SPORTDiscus"), ("econlit", "EconLit"), ("communication", "Communication Source"), ("library, information science", "LISTA"), ("greenfile", "GreenFILE")]
 EBSCO_PREFIXES = {"bth": "Business Source", "buh": "Business Source", "psyh": "PsycINFO", "pdh": "PsycARTICLES", "ccm": "CINAHL", "eric": "ERIC", "a9h": "Academic Search", "cmedm": "MEDLINE", "s3h": "SPORTDiscus", "ecn": "EconLit", "ufh": "Communication Source", "lxh": "LISTA", "8gh": "GreenFILE"}
 CENTRAL_ID = re.compile(r"\bCN-?\s?(\d{6,10})\b", re.I)
@@ -242,7 +254,7 @@ def parse_ris(text: str, dialect: str = "auto", source: str = "") -> Iterator[di
         kind = t.first("TY")
         r = {
             "title": collapse(t.first("TI", "T1")), "abstract": t.first("AB", "N2"), "authors": t.some("AU", "A1"), "year": year_of(t.first("PY", "Y1", "DA")),
-            "journal": t.first(*RIS_JOURNAL.get(dialect, RIS_JOURNAL["generic"]).split()), "doi": t.first("DO", "DI", *["M3"] * (dialect == "scopus")), "pmid": ris_pmid(t, dialect),
+            "journal": t.first(*RIS_JOURNAL.get(dialect, RIS_JOURNAL["generic"])), "doi": t.first("DO", "DI", *["M3"] * (dialect == "scopus")), "pmid": ris_pmid(t, dialect),
             "issn": t.first("SN"), "volume": t.first("VL"), "issue": t.first("IS"), "pages": pages, "doc_type": RIS_TYPES.get(kind, kind.lower()),
             "language": t.first("LA").lower(), "keywords": t.all("KW"), "url": t.first("UR", "L2"), "source_id": t.first("AN", "ID", "U1"), "source": source or f"RIS/{dialect}",
         }
@@ -296,6 +308,7 @@ REFINEMENTS = {"embase": _embase, "central": _central, "ebsco": _ebsco, "proques
 # --- Web of Science tagged
 
 WOS_TAG = re.compile(r"^([A-Z][A-Z0-9])(?: (.*)|)$")
+#: Fixed values.
 WOS_TYPES = {"article": "article", "review": "review", "proceedings paper": "conference", "book chapter": "chapter", "book": "book", "editorial material": "editorial", "letter": "letter"}
 
 
@@ -359,6 +372,7 @@ def medline_type(kinds: list[str]) -> str:
 # --- EndNote tagged
 
 ENW_TAG = re.compile(r"^%(\S)[ \t]?(.*)$")
+#: Fixed values.
 ENW_TYPES = {"electronic article": "article", "journal": "article", "newspaper article": "article", "magazine article": "article", "conference proceedings": "conference", "conference paper": "conference", "web page": "", "generic": ""}
 
 
@@ -427,6 +441,7 @@ def xml_nodes(text: str, tag: str) -> Iterator[ET.Element | Rejection]:
         yield Rejection("truncated", "the document ends inside an element")
 
 
+#: Fixed values.
 ENDNOTE_TYPES = {"journal article": "article", "electronic article": "article", "conference proceedings": "conference", "conference paper": "conference", "book section": "chapter", "book": "book", "thesis": "thesis", "report": "report", "17": "article", "10": "conference", "47": "conference", "5": "chapter", "6": "book", "32": "thesis", "27": "report"}
 
 
@@ -495,8 +510,11 @@ def parse_pubmed(text: str, dialect: str = "", source: str = "") -> Iterator[dic
 
 # --- BibTeX
 
+#: Fixed values.
 BIBTEX_TYPES = {"article": "article", "inproceedings": "conference", "conference": "conference", "proceedings": "conference", "incollection": "chapter", "inbook": "chapter", "book": "book", "booklet": "book", "collection": "book", "phdthesis": "thesis", "mastersthesis": "thesis", "thesis": "thesis", "techreport": "report", "manual": "report", "unpublished": "preprint"}
+#: Fixed values.
 ACCENTS = {"'": "́", "`": "̀", "^": "̂", '"': "̈", "~": "̃", "=": "̄", ".": "̇", "u": "̆", "v": "̌", "H": "̋", "c": "̧", "k": "̨", "r": "̊", "b": "̱", "d": "̣"}
+#: Fixed values.
 SYMBOLS = {
     "ss": "ß", "SS": "SS", "l": "ł", "L": "Ł", "o": "ø", "O": "Ø", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å", "i": "i", "j": "j", "dh": "ð", "DH": "Ð", "th": "þ", "TH": "Þ", "dj": "đ", "DJ": "Đ", "ng": "ŋ", "NG": "Ŋ",
     "textendash": "–", "textemdash": "—", "textquotesingle": "'", "textquotedblleft": "“", "textquotedblright": "”", "textquoteleft": "‘", "textquoteright": "’", "textbackslash": "\\", "textasciitilde": "~", "textasciicircum": "^", "textbullet": "•", "textdegree": "°",
@@ -656,7 +674,7 @@ def parse_bibtex(text: str, dialect: str = "auto", source: str = "") -> Iterator
 
 # --- tables
 
-#: For each vendor, the headers that hold a field, the first present one counts.
+#: For each vendor, the headers that hold a field, the first present one counts.
 CSV_MAPS = {
     "scopus": {"title": ["Title"], "authors": ["Authors", "Author full names", "Author Names"], "year": ["Year"], "journal": ["Source title"], "pages_start": ["Page start"], "pages_end": ["Page end"], "keywords": ["Author Keywords"], "keywords2": ["Index Keywords"], "doc_type": ["Document Type"], "language": ["Language of Original Document", "Language"], "cited_by": ["Cited by"], "url": ["Link", "DOI Link"], "scopus_id": ["EID"], "pmid": ["PubMed ID"]},
     "wos": {"title": ["Article Title", "Title"], "authors": ["Author Full Names", "Authors"], "year": ["Publication Year", "Year Published"], "journal": ["Source Title", "Journal"], "pages_start": ["Start Page"], "pages_end": ["End Page"], "keywords": ["Author Keywords"], "keywords2": ["Keywords Plus"], "affiliations": ["Addresses", "Affiliations"], "references": ["Cited References", "References"], "cited_by": ["Times Cited, All Databases", "Times Cited, WoS Core"], "url": ["DOI Link"], "source_id": ["UT (Unique WOS ID)", "UT (Unique ID)"], "open_access": ["Open Access Designations"]},
@@ -667,7 +685,7 @@ CSV_MAPS = {
     "proquest": {"title": ["Title", "Document Title"], "authors": ["Author", "Authors"], "year": ["Publication year", "Year", "publication date"], "journal": ["publication title", "Journal"], "doi": ["DOI", "digitalObjectIdentifier"], "keywords": ["Subject", "subjectTerms", "Keywords"], "keywords2": ["Identifier / keyword", "identifierKeywords"], "doc_type": ["Document type", "Source type", "Publication type"], "language": ["Language of Publication", "Language"], "url": ["document url", "URL"], "source_id": ["StoreId", "ProQuest document ID", "Accession Number"]},
     "generic": {"title": ["Title", "Article Title", "Document Title", "Primary Title"], "authors": ["Authors", "Author", "Author Full Names", "Author Names", "Creator"], "year": ["Year", "Publication Year", "PubYear", "Date", "Publication Date"], "journal": ["Journal", "Source title", "Publication Title", "Journal Title", "Container Title", "Periodical"], "doi": ["DOI", "Digital Object Identifier"], "abstract": ["Abstract", "Abstract Note", "Summary"], "volume": ["Volume"], "issue": ["Issue", "Number"], "pages": ["Pages", "Pagination", "Page Range"], "pages_start": ["Page start", "Start Page", "First Page"], "pages_end": ["Page end", "End Page", "Last Page"], "issn": ["ISSN", "eISSN", "ISBN"], "keywords": ["Keywords", "Author Keywords", "Subjects", "Subject Terms"], "keywords2": ["Index Keywords", "Keywords Plus", "IEEE Terms"], "affiliations": ["Affiliations", "Addresses", "Author Address", "Author affiliation", "Author Affiliations"], "references": ["References", "Cited References"], "doc_type": ["Document Type", "Publication Type", "Type", "Item Type"], "language": ["Language"], "cited_by": ["Cited by", "Times cited", "Times Cited, All Databases", "Citation Count"], "url": ["URL", "Link", "PDF Link"], "source_id": ["Accession Number", "ID", "Publication ID", "UT (Unique WOS ID)"], "pmid": ["PMID", "PubMed ID"], "scopus_id": ["EID", "Scopus ID"], "open_access": ["Open Access"]},
 }
-#: How much a header says that a table is a vendor's: 3 is its own, 1 is weak.
+#: How much a header says that a table is a vendor's: 3 is its own, 1 is weak.
 CSV_SIGNS = {
     "scopus": {"eid": 3, "citedby": 2, "authorkeywords": 1, "indexkeywords": 2, "sourcetitle": 1, "languageoforiginaldocument": 2, "documenttype": 1},
     "wos": {"utuniquewosid": 3, "utuniqueid": 3, "articletitle": 2, "publicationyear": 1, "keywordsplus": 3, "timescitedalldatabases": 3, "timescitedwoscore": 3, "authorfullnames": 1},
@@ -873,6 +891,11 @@ def read_exports(spark: SparkSession, path: str, fmt: str = "auto", dialect: str
     """A row for each stanza of each file under ``path``: the record's fields, or reason and detail. ``at`` is its place
     in its file, so input order is (path, at)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return parsed(files, fmt, dialect, source, encoding)
+
+
+def parsed(files: DataFrame, fmt: str = "auto", dialect: str = "auto", source: str = "", encoding: str = "auto") -> DataFrame:
+    """``read_exports`` of files that are there as rows (path, content)."""
 
     def run(batches):
         for pdf in batches:
@@ -880,6 +903,9 @@ def read_exports(spark: SparkSession, path: str, fmt: str = "auto", dialect: str
                 text, name, kind = decoded(bytes(data), encoding)
                 used = detect_format(text) if fmt == "auto" else fmt
                 found = [Rejection("unreadable", kind)] if kind else parse(text, used, dialect, source)
+                lost, likely = text.count("\ufffd"), detect_format(text)
+                notes = [f"{lost} undecodable characters replaced"] * bool(lost) + [f"read as {used}, looks like {likely}"] * bool(likely and used != likely) + ["no records"] * (not found)
+                found += [Rejection(NOTE, n) for n in notes]
                 rows = [outcome(p, used, name, i, x) for i, x in enumerate(found)]
                 for i in range(0, len(rows), 5000):
                     yield pd.DataFrame(rows[i : i + 5000], columns=OUTCOME.names).astype({"year": "Int32", "cited_by": "Int32", "open_access": "boolean", "at": "Int32"})
@@ -888,9 +914,11 @@ def read_exports(spark: SparkSession, path: str, fmt: str = "auto", dialect: str
 
 
 def accounts(outcomes: DataFrame) -> DataFrame:
-    """For each file: stanzas seen, accepted and rejected by reason; seen = accepted + rejected."""
+    """For each file: stanzas seen, accepted and rejected by reason; seen = accepted + rejected; and the notes on it."""
     counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
-    return outcomes.groupBy("path", "format", "encoding").agg(F.count("*").alias("seen"), F.count(F.when(F.col("reason").isNull(), 1)).alias("accepted"), *counts)
+    stanza = F.coalesce(F.col("reason") != NOTE, F.lit(True))
+    notes = F.array_sort(F.collect_list(F.when(~stanza, F.col("detail"))))
+    return outcomes.groupBy("path", "format", "encoding").agg(F.count(F.when(stanza, 1)).alias("seen"), F.count(F.when(F.col("reason").isNull(), 1)).alias("accepted"), *counts, notes.alias("notes"))
 
 
 def records_of(outcomes: DataFrame) -> DataFrame:

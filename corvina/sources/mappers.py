@@ -18,8 +18,10 @@ OPENALEX = "id string, doi string, display_name string, title string, publicatio
 S2 = "paperId string, title string, abstract string, year string, venue string, publicationDate string, citationCount int, externalIds struct<DOI:string,PubMed:string,ArXiv:string>, authors array<struct<name:string>>, publicationTypes array<string>, openAccessPdf struct<url:string>, publicationVenue struct<name:string>"
 SCOPUS = "`dc:title` string, `dc:description` string, `dc:creator` string, `prism:publicationName` string, `prism:doi` string, `prism:issn` string, `prism:volume` string, `prism:issueIdentifier` string, `prism:pageRange` string, `prism:coverDate` string, `citedby-count` string, `pubmed-id` string, eid string, subtypeDescription string, openaccessFlag boolean, authkeywords string, author string, affiliation string, `prism:url` string"
 WOS = "uid string, title string, types array<string>, source struct<sourceTitle:string,publishYear:int,volume:string,issue:string,pages:struct<range:string,begin:string,end:string>>, names struct<authors:array<struct<displayName:string,wosStandard:string>>>, citations array<struct<db:string,count:int>>, identifiers struct<doi:string,issn:string,eissn:string,pmid:string>, keywords struct<authorKeywords:array<string>>, links struct<record:string>"
+WOS_EXPANDED = "UID string, static_data struct<summary:struct<titles:struct<title:string>,names:struct<name:string>,doctypes:struct<doctype:string>,pub_info:struct<pubyear:string,vol:string,issue:string,page:struct<content:string>>>,fullrecord_metadata:struct<abstracts:struct<abstract:string>,keywords:struct<keyword:string>,addresses:struct<address_name:string>>>, dynamic_data struct<cluster_related:struct<identifiers:struct<identifier:string>>>"
 PREPRINT = "doi string, title string, authors string, date string, version string, category string, abstract string, server string"
 
+#: What the vendors call document types, in the order in which they count.
 S2_TYPES = [("review", "review"), ("conference", "conference"), ("booksection", "chapter"), ("book", "book"), ("journalarticle", "article"), ("editorial", "editorial"), ("lettersandcomments", "letter"), ("clinicaltrial", "article"), ("casereport", "article"), ("study", "article"), ("dataset", "report")]
 WOS_TYPES = [("review", "review"), ("proceedings paper", "conference"), ("book chapter", "chapter"), ("editorial material", "editorial"), ("letter", "letter"), ("article", "article"), ("book", "book")]
 
@@ -43,6 +45,11 @@ def _listed(json: Column, schema: str) -> Column:
     return F.from_json(F.when(F.ltrim(json).startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]"))), f"array<{schema}>")
 
 
+def _strings(json: Column) -> Column:
+    """A JSON text of one string or a list of them (one string comes without its quotes), as a list."""
+    return F.when(F.ltrim(json).startswith("["), F.from_json(json, "array<string>")).when(json.isNotNull(), F.array(json))
+
+
 def _first(c: Column) -> Column:
     return F.coalesce(F.get(c, F.lit(0)), F.lit(""))
 
@@ -123,6 +130,23 @@ def wos(items: DataFrame) -> DataFrame:
     return _mapped(items, WOS, "Web of Science", title=x["title"], authors=names, year=x["source"]["publishYear"], journal=x["source"]["sourceTitle"], doi=x["identifiers"]["doi"], pmid=pmid, issn=F.coalesce(F.nullif(x["identifiers"]["issn"], F.lit("")), x["identifiers"]["eissn"]), volume=x["source"]["volume"], issue=x["source"]["issue"], pages=span, doc_type=_type(x["types"], WOS_TYPES, False), keywords=x["keywords"]["authorKeywords"], cited_by=cited, url=x["links"]["record"], source_id=x["uid"])
 
 
+def wos_expanded(items: DataFrame) -> DataFrame:
+    """Full records, in which any list may be one object."""
+    x = F.col("x")
+    static = x["static_data"]
+    summary, full = static["summary"], static["fullrecord_metadata"]
+    titles = _listed(summary["titles"]["title"], "struct<type:string,content:string>")
+    title = lambda kind: F.coalesce(F.btrim(F.get(F.filter(titles, lambda t: t["type"] == kind), F.lit(0))["content"]), F.lit(""))
+    people = F.filter(_listed(summary["names"]["name"], "struct<role:string,full_name:string,display_name:string,last_name:string>"), lambda n: F.coalesce(n["role"], F.lit("author")) == "author")
+    named = F.filter(F.transform(people, lambda n: F.coalesce(F.nullif(n["full_name"], F.lit("")), F.nullif(n["display_name"], F.lit("")), n["last_name"])), lambda n: F.coalesce(n, F.lit("")) != "")
+    ids = F.filter(_listed(x["dynamic_data"]["cluster_related"]["identifiers"]["identifier"], "struct<type:string,value:string>"), lambda i: F.coalesce(i["value"], F.lit("")) != "")
+    own = lambda kind: F.get(F.filter(ids, lambda i: F.lower(i["type"]) == kind), F.lit(0))["value"]
+    texts = F.flatten(F.transform(_listed(full["abstracts"]["abstract"], "struct<abstract_text:struct<p:string>>"), lambda a: F.coalesce(_strings(a["abstract_text"]["p"]), F.array().cast("array<string>"))))
+    places = F.filter(F.transform(_listed(full["addresses"]["address_name"], "struct<address_spec:struct<full_address:string>>"), lambda a: F.btrim(a["address_spec"]["full_address"])), lambda a: F.coalesce(a, F.lit("")) != "")
+    pub = summary["pub_info"]
+    return _mapped(items, WOS_EXPANDED, "Web of Science Core Collection", title=title("item"), abstract=F.btrim(F.array_join(texts, "\n\n")), authors=_names(named), year=pub["pubyear"].try_cast("int"), journal=title("source"), doi=own("doi"), pmid=F.regexp_replace(own("pmid"), r"\D", ""), issn=F.coalesce(own("issn"), own("eissn")), volume=pub["vol"], issue=pub["issue"], pages=pub["page"]["content"], doc_type=_type(_strings(summary["doctypes"]["doctype"]), WOS_TYPES, False), keywords=_strings(full["keywords"]["keyword"]), affiliations=F.array_distinct(places), source_id=x["UID"])
+
+
 def preprints(items: DataFrame) -> DataFrame:
     """Of the versions of a preprint the first listed stays."""
     x = F.col("x")
@@ -133,4 +157,4 @@ def preprints(items: DataFrame) -> DataFrame:
     return keep_first(out.withColumn("_key", F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col("title"))), ["_key", "raw"], "ord").drop("_key")
 
 
-MAPPERS = {"crossref": crossref, "openalex": openalex, "semanticscholar": semanticscholar, "scopus": scopus, "wos": wos, "preprints": preprints}
+MAPPERS = {"crossref": crossref, "openalex": openalex, "semanticscholar": semanticscholar, "scopus": scopus, "wos": wos, "wos_expanded": wos_expanded, "preprints": preprints}

@@ -198,3 +198,85 @@ def test_search_appendix(spark):
     searches = spark.createDataFrame([(1, "PubMed", "x[ti]", 7), (0, "Scopus", "TITLE(x)", 9)], "ord long, database string, query string, records_retrieved long")
     text = reports.search_appendix(searches, {"wos": "TS=(x)"})
     assert text.index("1. Scopus") < text.index("2. PubMed") and "- Records: 9" in text and "TS=(x)" in text
+
+
+def test_bibtex_keys_are_unique(spark):
+    import re
+
+    from corvina.operators import export
+    from corvina.schema import conform
+
+    records = conform(spark.range(1500).selectExpr("id AS ord", "'T' AS title", "array('Smith, J') AS authors", "2000 AS year"))
+    keys = [r["key"] for r in export.bibtex_frame(records).orderBy("ord").collect()]
+    assert len(set(keys)) == 1500 and all(re.fullmatch("smith2000[a-z]*", k) for k in keys)
+    assert keys[:3] == ["smith2000", "smith2000b", "smith2000c"] and keys[25:28] == ["smith2000z", "smith2000aa", "smith2000ab"] and keys[702] == "smith2000aaa"
+
+
+def test_latex_escape(spark):
+    from corvina.operators import export
+
+    rows = ["a~b^c\\d {x} & 50% $ # _", "plain", "", "\\textbackslash{}"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(export.bibtex_escape(F.col("t"))).collect()]
+    special = {"\\": "\\textbackslash{}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}"} | {c: "\\" + c for c in "{}&%$#_"}
+    assert got == ["".join(special.get(c, c) for c in t) for t in rows]
+
+
+def test_faults_and_instalments(spark):
+    from corvina.operators import validate
+
+    rows = [
+        ("serial_instalment", "outlook first quarter 2021", "outlook second quarter 2021", "", "", "10.1/a", "10.1/b"),
+        ("serial_instalment", "trends part 2", "trends part iii", "", "", "", ""),
+        ("supplementary_component", "a", "a", "component", "", "", ""),
+        ("correction_vs_original", "Correction: a", "a", "", "", "", ""),
+        ("preprint_vs_published", "a", "a", "", "", "10.48550/x", "10.1000/x"),
+        ("two_preprint_servers", "a", "a", "", "", "10.48550/x", "10.1101/x"),
+        ("working_paper_vs_published", "a", "a", "report", "", "", ""),
+        ("book_edition", "a", "b", "book", "", "", ""),
+        ("identical_title_distinct_doi", "a", "a", "", "", "10.1/a", "10.1/b"),
+        ("over_merge", "a 5", "b 7", "", "", "10.1/a", "10.1/b"),
+    ]
+    df = spark.createDataFrame(rows, "want string, a_title string, b_title string, a_doc_type string, b_doc_type string, a_doi string, b_doi string")
+    df = df.withColumns({"a_norm_title": F.regexp_replace(F.lower("a_title"), ":", ""), "b_norm_title": F.regexp_replace(F.lower("b_title"), ":", "")})
+    got = df.select("want", validate.fault_kind().alias("kind")).collect()
+    assert [r["kind"] for r in got] == [r["want"] for r in got]
+    assert {r["kind"]: r["n"] for r in validate.fault_counts(df).collect()}["serial_instalment"] == 2
+    titles = spark.createDataFrame([("report for the third quarter of 2021",), ("about 20 things",), ("wave 2 of 3 in 1999",), ("volume q2021",), ("",)], "t string")
+    assert [r[0] for r in titles.select(validate.designations(F.col("t"))).collect()] == [["2021", "3"], [], ["1999", "2"], ["2021"], []]
+
+
+def test_damage_arm_and_control(spark):
+    from corvina.operators import validate
+    from corvina.schema import conform
+
+    records = conform(spark.range(400).selectExpr("id AS ord", "concat('R', id) AS uid", "concat('A title of some words number ', id, ' and more') AS title", "concat('10.1000/', id) AS doi", "2000 AS year"))
+    arm, control = validate.arm(records, "truncated_title", 0.3, seed=5)
+    new = lambda df: {r["uid"]: r for r in df.where("uid like 'D%'").collect()}
+    a, c = new(arm), new(control)
+    assert 80 < len(a) < 160 and a.keys() == c.keys() and arm.where("uid like 'R%'").count() == 400
+    old = {r["uid"]: r["title"] for r in records.collect()}
+    assert all(c[u]["title"] == old[u[1:]] and a[u]["title"] != old[u[1:]] and a[u]["doi"] == "" and a[u]["ord"] >= 400 for u in a)
+
+
+def test_intervals_and_digest(spark):
+    from corvina.operators import harvest, validate
+
+    low, high = validate.bootstrap_f1(900, 50, 50)
+    assert low < 2 * 900 / 1900 < high and high - low < 0.03 and validate.bootstrap_f1(0, 0, 0) == (1.0, 1.0)
+    assert validate.percentile([1.0, 2.0, 4.0], 0.5) == 2.0 and validate.percentile([1.0, 2.0, 4.0], 0.75) == 3.0
+    sums = spark.range(3000).selectExpr("sha2(cast(id % 900 AS string), 256) AS checksum")
+    a, b = harvest.corpus_digest(sums).first(), harvest.corpus_digest(sums.orderBy(F.rand(1)).repartition(7)).first()
+    assert a == b and a["n"] == 3000 and a["digest"] != harvest.corpus_digest(sums.limit(2999)).first()["digest"]
+
+
+def test_scopus_languages():
+    from corvina.operators.search import SearchQuery
+
+    q = SearchQuery([["x"]], languages=["ar", "sv", "he"])
+    assert q.compile("scopus") == 'TITLE-ABS-KEY("x") AND (LANGUAGE(arabic OR swedish OR hebrew))' and not q.warnings
+
+
+def test_vendor_names():
+    from corvina.functions.text import vendor_name
+
+    assert [vendor_name(n) for n in ("Wu Y.", "Wu Y.-J.", "de la Cruz M.A.", "Anna Nowak", "Nowak, A", "Solo", "", None)] == ["Wu, Y.", "Wu, Y.-J.", "de la Cruz, M.A.", "Nowak, Anna", "Nowak, A", "Solo", "", ""]

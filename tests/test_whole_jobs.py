@@ -33,7 +33,7 @@ def facts_and_rows(spark, r):
 
 
 def test_pair_guards_cover_all_candidates(spark):
-    known, raw = facts_and_rows(spark, catalogue._records(spark, SF))
+    known, raw = facts_and_rows(spark, catalogue.records_of(spark, SF))
     by, o = {f.ord: f for f in known}, match.Options()
     titles = {f.ord: {t for t in f.norm_title.split() if len(t) > 2} for f in known}
     df, couples = {}, {}
@@ -51,10 +51,18 @@ def test_pair_guards_cover_all_candidates(spark):
         want |= {(min(n, m), max(n, m)): False for m in near}
     want |= dict.fromkeys(keyed_pairs(known, raw, 25), True)
     guards = {}
+    year = lambda x: None if x.year is None or x.year != x.year else x.year
     for (i, j), via in want.items():
         a, b = by[i], by[j]
+        sizes = len(a.norm_title), len(b.norm_title)
         need = o.round_title_min if via else o.fuzzy_threshold
-        guards[i, j] = (match.length_permits(a, b, need), match.years_ok(a, b, o.year_tolerance), match.conflicting_id(a, b), match.separating_field(a, b), match.conference_vs_article(a, b))
+        years = None not in (year(a), year(b))
+        conflict = next((n for c, n in match.IDS.items() if getattr(a, c) and getattr(b, c) and getattr(a, c) != getattr(b, c)), "")
+        pages = not (a.unreadable or b.unreadable) and "" not in (a.page, b.page) and a.page != b.page and a.digits != b.digits
+        volumes = "" not in (a.volume_no, b.volume_no) and a.volume_no != b.volume_no and years and a.year != b.year
+        place = "pages" if pages else "volume+year" if volumes else "series instalment" if list(a.markers) != list(b.markers) else ""
+        meeting = any(x.venue and not x.doi and not x.page and y.doi and y.page for x, y in ((a, b), (b, a)))
+        guards[i, j] = (min(sizes) > 0 and 2 * min(sizes) / sum(sizes) >= need, not years or abs(a.year - b.year) <= o.year_tolerance, conflict, place, meeting)
     got = {(x[0], x[1]): tuple(x[2:]) for x in catalogue.pair_guards(spark, SF).collect()}
     assert got == guards
     assert not all(want.values())
@@ -65,16 +73,16 @@ def test_comparison_rule_has_its_own_limit(spark, tmp_path):
     rows = [(n, " ".join(words), "en", "A") for n in range(30)]
     rows += [(100 + n, " ".join(["other", *words]), "en", "A") for n in range(401)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    known, raw = facts_and_rows(spark, catalogue._records(spark, str(tmp_path)))
+    known, raw = facts_and_rows(spark, catalogue.records_of(spark, str(tmp_path)))
     got = {(x["i"], x["j"]) for x in catalogue.comparison_rule(spark, str(tmp_path)).collect()}
     assert got == keyed_pairs(known, raw, 400) == set(combinations(range(30), 2))
 
 
 def test_uppercase_takes_every_title(spark):
-    titles = {r["uid"]: r["title"] for r in catalogue._records(spark, SF).select("uid", "title").collect()}
+    titles = {r["uid"]: r["title"] for r in catalogue.records_of(spark, SF).select("uid", "title").collect()}
     want = {u: t.upper() for u, t in titles.items() if t and t != t.upper()}
     assert any("ß" in titles[u] for u in want)
-    assert dict(map(tuple, catalogue.perturb_uppercase_all(spark, SF).collect())) == want
+    assert dict(map(tuple, catalogue.perturb_uppercase(spark, SF).collect())) == want
 
 
 def table_of(spark, tmp_path, firsts):
@@ -88,10 +96,10 @@ def test_screening_holds_every_record(spark, tmp_path):
     sf = table_of(spark, tmp_path, ["=cmd", "+Nowak", "-Doe", "@Smith", "Kowalski"])
     for folder in (sf, SF):
         safe = lambda s: "'" + s if s.startswith(("=", "+", "-", "@", "\t", "\r")) else s
-        want = [(r["ord"], safe(r["uid"]), safe(r["title"]), safe(r["abstract"]), safe("; ".join(r["authors"])), str(r["year"] or ""), r["doi"]) for r in catalogue._records(spark, folder).collect()]
-        got = [tuple(r) for r in catalogue.export_screening_all(spark, folder).collect()]
+        want = [(r["ord"], safe(r["uid"]), safe(r["title"]), safe(r["abstract"]), safe("; ".join(r["authors"])), str(r["year"] or ""), r["doi"]) for r in catalogue.records_of(spark, folder).collect()]
+        got = [tuple(r) for r in catalogue.export_screening(spark, folder).collect()]
         assert sorted(got) == sorted(want)
-    assert {r["authors"] for r in catalogue.export_screening_all(spark, sf).collect()} == {"'=cmd, X", "'+Nowak, X", "'-Doe, X", "'@Smith, X", "Kowalski, X"}
+    assert {r["authors"] for r in catalogue.export_screening(spark, sf).collect()} == {"'=cmd, X", "'+Nowak, X", "'-Doe, X", "'@Smith, X", "Kowalski, X"}
 
 
 def test_surnames_hold_every_record(spark, tmp_path):
@@ -110,6 +118,6 @@ def test_ris_has_abstracts(spark):
         lines += [(t, v) for t, v in (("UR", r["url"]), ("LA", r["language"]), ("ID", r["uid"])) if v]
         return "".join(f"{t}  - {v}\n" for t, v in lines) + "ER  - \n"
 
-    rows = catalogue._records(spark, SF).collect()
+    rows = catalogue.records_of(spark, SF).collect()
     assert any("\n" in r["abstract"] for r in rows) and max(len(r["abstract"]) for r in rows) > 10_000
-    assert dict(map(tuple, catalogue.export_ris_full(spark, SF).collect())) == {r["ord"]: stanza(r) for r in rows}
+    assert dict(map(tuple, catalogue.export_ris(spark, SF).collect())) == {r["ord"]: stanza(r) for r in rows}
