@@ -10,7 +10,7 @@ writes each as one) any chunk can be read alone; as a row of the Parquet table (
 shard is read whole, and its chunks are then decoded one by one. The table may lie in any Hadoop file system, and
 Spark's committer makes the write atomic for each task.
 
-Order: ascending doc_id (nulls first); rows that share a doc_id are ordered by a hash of the text, then by the ids, so
+Order: ascending doc_id (nulls first); rows that share a doc_id are ordered by a hash of the text, then by the text, so
 repeated rows stand together (null text counts as empty). Null and empty texts give one id, the end id. An empty table
 gives no shard. Other columns than doc_id and text are not carried.
 """
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, delete, kept, map_texts, stored, table_path
+from .common import bounded_batches, kept, slices, table_path
 
 MAGIC = b"CVT1"
 HEAD = struct.Struct("<4sBBxxIQII")  # magic, planes kind, planes, docs, ids, chunks, doc table bytes
@@ -218,61 +218,39 @@ def unpack_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [None if d == NULL_ID else int(d) for d in table[0]], table[1], np.concatenate(ids) if ids else np.empty(0, "<u4")
 
 
-def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, h (a hash of the text), ids (bytes, two for each id where the vocabulary allows, else four; with the end id)
-    and wide (whether they are four) of each row, in one Arrow pass."""
-
-    def make():
-        encoder = encoder_of(tokenizer)
-
-        def work(texts: list[str]) -> dict:
-            raw = [p + END for p in encoder.encode(texts)]
-            wide = encoder.tok.get_vocab_size() > 1 << 16
-            return {"ids": raw if wide else [np.frombuffer(p, "<u4").astype("<u2").tobytes() for p in raw], "wide": [wide] * len(raw)}
-
-        return work
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return map_texts(keyed, make, "ids binary, wide boolean", keep=["doc_id", "h"])
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = 1 << 20, chunk_ids: int = 1 << 16, kind: str = "byte") -> None:
     """Encodes (doc_id, text) and writes shards of about ``shard_ids`` ids in order to the table at ``path``.
 
-    Texts are encoded where they are read, into a table, so that what is put in order by one range shuffle is ids, about
-    half as many bytes as the texts, and no text is encoded again for the shuffle's bounds. Ties are split by a hash of
-    the text, then by the ids, which tell all texts apart; so no key can fill a task but one of equal texts.
+    One range shuffle puts documents in order; ties are split by a hash of the text, so no key can fill a task but one of
+    equal texts. Texts are shuffled, not ids: ids compress so badly that they are no less, and would need a table of their
+    own, or to be made twice, as the shuffle's bounds are found by a pass of its own.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    ids, held_path = stored(spark, encoded(docs, tokenizer), "ids", compression="zstd")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        docs_, parts = [], []
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
+        held: list[tuple[list, list]] = []
         size = seq = before = 0
 
         def flush():
-            nonlocal docs_, parts, size, seq, before
-            out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "part_start": [before], "n_ids": [size], "shard": [pack_shard(docs_, parts, chunk_ids, kind)]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
-            before, seq, size, docs_, parts = before + size, seq + 1, 0, [], []
+            nonlocal held, size, seq, before
+            ids, parts = [d for a, _ in held for d in a], [p for _, b in held for p in b]
+            out = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "part_start": [before], "n_ids": [size], "shard": [pack_shard(ids, parts, chunk_ids, kind)]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
+            before, seq, size, held = before + size, seq + 1, 0, []
             return out
 
-        for batch in batches:
-            for doc_id, raw, wide in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                docs_.append(doc_id)
-                parts.append(raw if wide else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-                size += len(parts[-1]) // 4
-                if size >= shard_ids:
-                    yield flush()
-        if docs_:
+        for rows, texts in slices(batches, "text"):
+            parts = [p + END for p in encoder.encode(texts)]
+            held.append((rows.column(0).to_pylist(), parts))
+            size += sum(map(len, parts)) // 4
+            if size >= shard_ids:
+                yield flush()
+        if held:
             yield flush()
 
-    order = ("doc_id", "h", "ids")
-    ordered = ids.repartitionByRange("doc_id", "h").sortWithinPartitions(*order).select("doc_id", "ids", "wide")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(run, "part int, seq int, part_start long, n_ids long, shard binary").write.option("compression", "none").parquet(path)
-    delete(spark, held_path)
 
 
 def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
