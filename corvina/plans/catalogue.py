@@ -118,19 +118,6 @@ def token_block_pairs(spark, sf_dir):
     return blocking._pairs(probes, held.join(probes.select("token").distinct(), "token", "left_semi"), "token")
 
 
-@query()
-def candidate_pairs(spark, sf_dir):
-    return blocking.candidates(written(blocking.with_norms(records_of(spark, sf_dir)).drop("abstract", "raw", "provenance")))
-
-
-@query()
-def pair_guards(spark, sf_dir):
-    # normalised once, as in deduplication; candidates read it several times
-    r = blocking.with_norms(records_of(spark, sf_dir)).withColumn("rich", fields.richness())
-    r = written(r.select("ord", "title", "authors", "year", "pages", "volume", "journal", *match.IDS, "norm_title", "norm_journal", "author_key", "rich"))
-    return match.pair_guards(blocking.candidates(r), match.facts(r), match.Options()).select("i", "j", "length_ok", "years_ok", "conflict", "separated_by", "conference")
-
-
 @query()
 def dedup_clusters(spark, sf_dir):
     return dedup.deduplicate(records_of(spark, sf_dir)).clusters
@@ -425,4 +412,4 @@ def export_bibtex(spark, sf_dir):
 
 FLAGSHIP = "unique_works"
 
-from . import formats  # noqa: E402, F401  (it registers its queries)
+from . import formats, matching  # noqa: E402, F401  (they register their queries)

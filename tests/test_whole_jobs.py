@@ -4,7 +4,7 @@ from itertools import combinations
 
 from corvina.functions.text import surname_key
 from corvina.operators import match
-from corvina.plans import catalogue
+from corvina.plans import catalogue, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +63,7 @@ def test_pair_guards_cover_all_candidates(spark):
         place = "pages" if pages else "volume+year" if volumes else "series instalment" if list(a.markers) != list(b.markers) else ""
         meeting = any(x.venue and not x.doi and not x.page and y.doi and y.page for x, y in ((a, b), (b, a)))
         guards[i, j] = (min(sizes) > 0 and 2 * min(sizes) / sum(sizes) >= need, not years or abs(a.year - b.year) <= o.year_tolerance, conflict, place, meeting)
-    got = {(x[0], x[1]): tuple(x[2:]) for x in catalogue.pair_guards(spark, SF).collect()}
+    got = {(x[0], x[1]): tuple(x[2:]) for x in matching.pair_guards(spark, SF).collect()}
     assert got == guards
     assert not all(want.values())
 
