@@ -23,11 +23,29 @@ SEARCHES_SQL = """searches AS (SELECT n_nationkey AS ord, (['Scopus', 'PubMed (v
 # --- fields
 
 
-@query("SELECT uid, lower(regexp_replace(doi, '^10', 'https://doi.org/10')) AS given, doi AS doi, upper(doi) AS shouted FROM records")
+def _forms(forms: list[tuple]) -> list:
+    """Columns of cases that records take in turn, by ord."""
+    at = (F.col("ord") % len(forms)).cast("int")
+    return [F.get(F.array(*[F.lit(f[k]) for f in forms]), at) for k in range(len(forms[0]))]
+
+
+def _forms_sql(forms: list[tuple], k: int) -> str:
+    """The k-th value of each case in SQL."""
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"([{', '.join(shown(f[k]) for f in forms)}])[ord % {len(forms)} + 1]"
+
+
+#: What stands before and behind a DOI.
+_DOI_FORMS = [("", ""), ("https://doi.org/", ""), ("http://dx.doi.org/", "."), ("DOI: ", ";"), ("doi:", ","), (" ", " "), ("doi.org/", ""), ("NA ", ""), ("x", ""), ("10.12/", ""), ("no ", " x")]
+
+
+@query(f"SELECT uid, {_forms_sql(_DOI_FORMS, 0)} || replace(upper(doi), '/', CASE WHEN ord % 4 = 0 THEN '%2F' WHEN ord % 4 = 1 THEN '%252F' ELSE '/' END) || {_forms_sql(_DOI_FORMS, 1)} AS given, doi FROM records")
 def normalize_doi(spark, sf_dir):
-    given = F.lower(F.regexp_replace("doi", "^10", "https://doi.org/10"))
-    back = fields.doi(F.concat(F.lit(" "), given, F.lit(".")))
-    return records_of(spark, sf_dir).select("uid", given.alias("given"), back.alias("doi"), F.upper(fields.doi(F.concat(F.lit("DOI: "), F.upper("doi")))).alias("shouted"))
+    """DOIs as people write them: resolvers, labels, marks behind, escaped once or twice, shouted."""
+    before, after = _forms(_DOI_FORMS)
+    slash = F.when(F.col("ord") % 4 == 0, "%2F").when(F.col("ord") % 4 == 1, "%252F").otherwise("/")
+    given = F.concat(before, F.replace(F.upper("doi"), F.lit("/"), slash), after)
+    return records_of(spark, sf_dir).select("uid", given.alias("given"), fields.doi(given).alias("doi"))
 
 
 @query("SELECT uid, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(title, 'ß', 'ss'))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS norm_title FROM records")
@@ -47,18 +65,27 @@ def pages_fields(spark, sf_dir):
     return records_of(spark, sf_dir).select("uid", fields.clean_pages(spaced).alias("cleaned"), fields.first_page("pages").alias("first_page"), fields.page_digits("pages").alias("digits"), fields.pseudo_range("pages").alias("pseudo"))
 
 
-@query("SELECT uid, CASE WHEN year IS NULL THEN NULL ELSE year END AS y, CAST(cited_by AS INTEGER) AS n FROM records")
+#: A year's cell and the year; a number's cell and the number.
+_YEARS = [("2001.0", 2001), ("c1998", 1998), ("(2020) June", 2020), ("", None), ("n.d.", None), ("1500", 1500), ("12/2011", 2011), ("20", None), (" 1999 ", 1999), ("2019-05-06", 2019), ("in press", None)]
+_NUMBERS = [("1,234", 1234), ("12 345", 12345), ("-5", -5), ("7.0", 7), ("", None), ("cited 17 times", 17), ("none", None), ("0", 0), ("3.5", 3)]
+
+
+@query(f"SELECT uid, CAST({_forms_sql(_YEARS, 1)} AS INTEGER) AS y, CAST({_forms_sql(_NUMBERS, 1)} AS INTEGER) AS n FROM records")
 def parse_numbers(spark, sf_dir):
-    return records_of(spark, sf_dir).select("uid", fields.parse_year(F.concat(F.col("year").cast("string"), F.lit(".0"))).alias("y"), fields.parse_int(F.concat(F.col("cited_by").cast("string"), F.lit(".0"))).alias("n"))
+    return records_of(spark, sf_dir).select("uid", fields.parse_year(_forms(_YEARS)[0]).alias("y"), fields.parse_int(_forms(_NUMBERS)[0]).alias("n"))
 
 
-@query("SELECT ps.p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'review' WHEN p_type LIKE '%TIN%' THEN 'conference' ELSE 'thesis' END AS mapped FROM part ps", records=False)
-def doc_type_map(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    label = F.when(F.col("p_type").contains("STEEL"), "Systematic  Review article").when(F.col("p_type").contains("TIN"), "Conference Paper").otherwise("PhD Dissertation")
-    return parts.select("p_partkey", fields.doc_type(label).alias("mapped"))
+#: A label and the document type that it names.
+_LABELS = [
+    ("Systematic  Review", "review"), ("Meta-Analysis", "review"), ("Working Paper", "preprint"), ("Submitted manuscript", "preprint"), ("Conference Paper", "conference"), ("PROCEEDINGS", "conference"), ("Meeting Abstract", "conference"),
+    ("Book Chapter", "chapter"), ("inbook", "chapter"), ("PhD Dissertation", "thesis"), ("Technical Report", "report"), ("Practice Guideline", "report"), ("Erratum", "editorial"), ("Note", "editorial"), ("Letter", "letter"), ("Comment", "letter"),
+    ("Monograph", "book"), ("Journal Article", "article"), ("Original Research", "article"), ("Data Paper", "article"), ("", ""), ("Patent", ""), ("Review of a book", "review"), ("Letter to the editor, short survey", "review"),
+]
 
 
+@query(f"SELECT uid, {_forms_sql(_LABELS, 1)} AS mapped FROM records")
+def doc_type_map(spark, sf_dir):
+    return records_of(spark, sf_dir).select("uid", fields.doc_type(_forms(_LABELS)[0]).alias("mapped"))
 
 
 @query("SELECT uid, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(title, '[^ -~]', 'z', 'g') || ' Part ' || volume, '(?i)\\bq[1-4]\\b|\\b(?:part|vol|volume|no|number|issue|wave|round|edition|ed)\\.?\\s*(?:[ivxlcdm]+|\\d+)\\b'), lambda x: lower(x)))), '|') AS markers FROM records")
@@ -67,18 +94,21 @@ def period_markers(spark, sf_dir):
     return records_of(spark, sf_dir).select("uid", F.array_join(fields.period_markers(title), "|").alias("markers"))
 
 
-@query("SELECT uid, len(records.title) > 0 AND doi <> '' AND ord % 2 = 0 AS only_id, ord % 3 = 0 AS venue, ord % 4 = 0 AS mangled FROM records")
+#: Titles and whether they are nothing but an identifier; venues of meetings; pages that a spreadsheet has made dates.
+_TITLES = [("10.1000/abc", True), (" doi: 10.1000/x ", True), ("https://doi.org/10.1/x y", False), ("hdl.handle.net/1/2", True), ("urn:nbn:de:1", True), ("ISBN 978-3-16-148410-0", True), ("https://x.org/a", True), ("A plain title", False), ("", False), ("10.1000/a b", False), ("ISBN", False)]
+_VENUES = [("Annual Meeting of Things", True), ("Proceedings of X", True), ("Things", False), ("J Supplement 2", True), ("Suppl to Y", True), ("Abstracts", True), ("World Congress", True), ("Symposia", False), ("Annual Scientific Session", True), ("", False), ("Supple Things", False), ("Conferences", False)]
+_PAGES = [("11-Sep", True), ("Nov-19", True), ("11-19", False), ("1 dec", True), ("March/12", True), ("", False), ("S3-Sep", False), ("sept-5", True), ("12345-may", False), ("may", False)]
+
+
+@query(f"SELECT uid, {_forms_sql(_TITLES, 1)} AS only_id, {_forms_sql(_VENUES, 1)} AS venue, {_forms_sql(_PAGES, 1)} AS mangled FROM records")
 def title_and_venue_flags(spark, sf_dir):
-    r = records_of(spark, sf_dir)
-    title = F.when((F.col("title") != "") & (F.col("doi") != "") & (F.col("ord") % 2 == 0), F.concat(F.lit(" doi: "), "doi")).otherwise("A plain title")
-    venue = F.when(F.col("ord") % 3 == 0, "Annual Meeting of Things").otherwise("Things")
-    pages = F.when(F.col("ord") % 4 == 0, "11-Sep").otherwise("11-9")
-    return r.select("uid", fields.identifier_title(title).alias("only_id"), fields.conference_venue(venue).alias("venue"), fields.mangled_pages(pages).alias("mangled"))
+    title, venue, pages = (_forms(x)[0] for x in (_TITLES, _VENUES, _PAGES))
+    return records_of(spark, sf_dir).select("uid", fields.identifier_title(title).alias("only_id"), fields.conference_venue(venue).alias("venue"), fields.mangled_pages(pages).alias("mangled"))
 
 
-@query("SELECT ord, 9.0 * 0 + (CASE WHEN title <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doi <> '' THEN 1.0 ELSE 0 END) + 1.0 + 1.0 + (CASE WHEN pages <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doc_type <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN language <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN year IS NOT NULL THEN 1.0 ELSE 0 END) + (CASE WHEN len(authors) > 0 THEN 1.1 ELSE 0 END) + (CASE WHEN len(keywords) > 0 THEN 1.0 ELSE 0 END) + least(length(abstract), 3000) / 1000.0 > 8.5 AS rich FROM records")
-def richrecords_of(spark, sf_dir):
-    return records_of(spark, sf_dir).select("ord", (fields.richness() > 8.5).alias("rich"))
+@query("SELECT ord, round(CAST((CASE WHEN title <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doi <> '' THEN 1.0 ELSE 0 END) + 1.0 + 1.0 + (CASE WHEN pages <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN doc_type <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN language <> '' THEN 1.0 ELSE 0 END) + (CASE WHEN year IS NOT NULL THEN 1.0 ELSE 0 END) + (CASE WHEN len(authors) > 0 THEN 1.1 ELSE 0 END) + (CASE WHEN len(keywords) > 0 THEN 1.0 ELSE 0 END) + least(length(abstract), 3000) / 1000.0 AS DOUBLE), 6) AS rich FROM records")
+def rich_records(spark, sf_dir):
+    return records_of(spark, sf_dir).select("ord", F.round(fields.richness(), 6).alias("rich"))
 
 
 @query("SELECT uid, CASE WHEN doi <> '' THEN 'doi:' || doi WHEN pmid <> '' THEN 'pmid:' || pmid ELSE 'sid:' || source || ':' || source_id END AS key FROM records")
@@ -129,7 +159,7 @@ def dedup_decisions(spark, sf_dir):
 
 
 @query()
-def deduprecords_of(spark, sf_dir):
+def dedup_records(spark, sf_dir):
     return dedup.deduplicate(records_of(spark, sf_dir)).records.drop("provenance")
 
 
@@ -173,7 +203,10 @@ def quality_report(spark, sf_dir):
     return reports.quality(records_of(spark, sf_dir))
 
 
-@query()
+_ROUND = "CASE WHEN {0} * 10 - floor({0} * 10) = 0.5 AND floor({0} * 10) % 2 = 0 THEN floor({0} * 10) / 10 ELSE round({0}, 1) END"
+
+
+@query(f"SELECT source, n, {', '.join(f'{_ROUND.format(f)} AS {f}' for f in [*(f'pct_{f}' for f in _PRESENT), 'mean_abstract_len'])} FROM (SELECT source, count(*) AS n, {', '.join(f'100.0 * count(CASE WHEN {c} THEN 1 END) / count(*) AS pct_{f}' for f, c in _PRESENT.items())}, coalesce(avg(CASE WHEN abstract <> '' THEN length(abstract) END), 0) AS mean_abstract_len FROM records GROUP BY source)")
 def quality_report_rounded(spark, sf_dir):
     return reports.quality_rounded(records_of(spark, sf_dir))
 
@@ -189,10 +222,18 @@ def source_audit(spark, sf_dir):
     return reports.source_audit(_searches(spark, sf_dir))
 
 
-@query("SELECT CASE WHEN ord % 5 = 0 THEN 'retracted' WHEN ord % 5 = 1 THEN 'erratum' WHEN ord % 5 = 2 THEN 'concern' WHEN ord % 5 = 3 THEN 'withdrawn' END AS flag, count(*) AS n FROM records WHERE ord % 5 < 4 GROUP BY 1")
+#: What stands before a title, the document type, and the flag that follows.
+_FLAGS = [
+    ("RETRACTED: ", "", "retracted"), ("Retracted article - ", "", "retracted"), ("[Retracted]: ", "", "retracted"), ("Retraction note: ", "", "retraction_notice"), ("Retraction: ", "", "retraction_notice"), ("This article has been retracted ", "", "retraction_notice"),
+    ("Withdrawn - ", "", "withdrawn"), ("Withdrawal notice: ", "", "withdrawn"), ("Expression of  concern about ", "", "concern"), ("Corrigendum to ", "", "erratum"), ("Erratum: ", "", "erratum"), ("On ", "", None), ("Withdrawing ", "", None),
+    ("On ", "Retracted Publication", "retracted"), ("On ", "correction", "erratum"), ("RETRACTED: ", "Withdrawn", "withdrawn"), ("The retracted article ", "", "retracted"),
+]
+
+
+@query(f"SELECT flag, count(*) AS n FROM (SELECT {_forms_sql(_FLAGS, 2)} AS flag FROM records) WHERE flag IS NOT NULL GROUP BY 1")
 def integrity_flags(spark, sf_dir):
-    lead = F.get(F.array(*map(F.lit, ["RETRACTED: ", "Corrigendum to ", "Expression of  concern about ", "Withdrawn - ", "On "])), (F.col("ord") % 5).cast("int"))
-    return reports.integrity_counts(records_of(spark, sf_dir).withColumns({"title": F.concat(lead, "title"), "doc_type": F.lit("")}))
+    lead, kind, _ = _forms(_FLAGS)
+    return reports.integrity_counts(records_of(spark, sf_dir).withColumns({"title": F.concat(lead, "title"), "doc_type": kind}))
 
 
 _CITED = "cited AS (SELECT DISTINCT ord, substr(key, 5) AS doi FROM (SELECT ord, 'doi:' || unnest(list_filter(refs, lambda x: x LIKE '10.5555/%')) AS key FROM records))"
@@ -208,9 +249,10 @@ def cited_but_absent(spark, sf_dir):
     return reports.cited_but_absent(records_of(spark, sf_dir), 2)
 
 
-@query("SELECT count(*) AS records, count(*) AS records_with_references, CAST(2 * count(*) AS BIGINT) AS reference_entries, count(*) AS entries_with_doi FROM records")
+@query("SELECT count(*) AS records, count(CASE WHEN ord % 3 > 0 THEN 1 END) AS records_with_references, CAST(sum(CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) AS BIGINT) AS reference_entries, count(CASE WHEN ord % 3 = 1 THEN 1 END) AS entries_with_doi FROM records")
 def reference_coverage(spark, sf_dir):
-    return reports.reference_coverage(records_of(spark, sf_dir))
+    some = F.when(F.col("ord") % 3 == 0, F.array().cast("array<string>")).when(F.col("ord") % 3 == 1, F.col("references")).otherwise(F.slice("references", 2, 1))
+    return reports.reference_coverage(records_of(spark, sf_dir).withColumn("references", some))
 
 
 @query(f"SELECT count(*) AS n, {', '.join(f'100.0 * count(CASE WHEN {c} THEN 1 END) / count(*) AS pct_{f}' for f, c in (_PRESENT | {'pmid': chr(112) + 'mid <> ' + chr(39) * 2, 'journal': 'true', 'pages': 'pages <> ' + chr(39) * 2, 'volume': 'true'}).items() if f in ('doi', 'pmid', 'abstract', 'authors', 'year', 'journal', 'pages', 'volume'))}, median(len(list_filter(string_split(title, ' '), lambda x: x <> ''))) AS median_title_words, median(len(authors)) AS median_authors, CAST(0 AS DOUBLE) AS pct_preprint, 100.0 * count(CASE WHEN strip_accents(title) <> title OR regexp_matches(title, '[łŁøØđßæœ]') THEN 1 END) / count(*) AS pct_diacritics FROM records")
@@ -303,7 +345,7 @@ def request_keys(spark, sf_dir):
 
 
 @query(f"SELECT ord, row_number() OVER (ORDER BY doi, {NORM_SQL.format('title')}, coalesce(year, -1), source, source_id, ord) AS place FROM records")
-def sortrecords_of(spark, sf_dir):
+def sort_records(spark, sf_dir):
     from ..schema import numbered
 
     r = records_of(spark, sf_dir).withColumns({"given": F.col("ord"), "t": column(normalize_title, "title"), "y": F.coalesce("year", F.lit(-1))})
@@ -405,7 +447,21 @@ def export_ris(spark, sf_dir):
     return records_of(spark, sf_dir).select("ord", export.ris_text().alias("text"))
 
 
-@query()
+def _latex_sql(value: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in export.LATEX.items())
+    return f"array_to_string(list_transform(string_split({value}, ''), lambda c: CASE c {cases} ELSE c END), '')"
+
+
+_BIBTEX = {
+    "title": "title", "author": "array_to_string(authors, ' and ')", "journal": "journal", "year": "coalesce(CAST(year AS VARCHAR), '')", "volume": "volume", "pages": "pages", "doi": "doi",
+    "language": "language", "keywords": "array_to_string(keywords, '; ')", "note": "CASE WHEN pmid <> '' THEN 'PMID: ' || pmid ELSE '' END", "abstract": "abstract",
+}
+
+
+@query(f""", named AS (SELECT *, regexp_replace({_SURNAME}, '[^a-z]', '', 'g') AS s FROM records),
+based AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN s = '' THEN 'anon' ELSE s END, year ORDER BY ord) AS n FROM named),
+keyed AS (SELECT *, CASE WHEN s = '' THEN 'anon' ELSE s END || coalesce(CAST(year AS VARCHAR), '') || CASE WHEN n = 1 THEN '' WHEN n <= 26 THEN chr(CAST(96 + n AS INTEGER)) ELSE chr(CAST(96 + (n - 1) // 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) END AS key FROM based)
+SELECT ord, key, '@article{{' || key || ',' || chr(10) || array_to_string(list_filter([{', '.join(f"CASE WHEN {v} <> '' THEN '  {k} = {{' || {_latex_sql(v)} || '}}' END" for k, v in _BIBTEX.items())}], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS text FROM keyed""")
 def export_bibtex(spark, sf_dir):
     return export.bibtex_frame(records_of(spark, sf_dir))
 
