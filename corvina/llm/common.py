@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import tables
+from ..tables import delete, table_path  # noqa: F401  (operators take them from here)
+
 #: Rows of an Arrow batch: a batch of very long texts must still fit beside the JVM.
 BATCH_ROWS = 512
 #: Characters handled at once inside a batch.
@@ -24,31 +23,6 @@ CHUNK_CHARS = 1 << 20
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corvina-")
-        warnings.warn(f"spark.checkpoint.dir is unset; tables between steps go to {found}, which only one machine sees", stacklevel=2)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended
-        pass
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/corvina-{name}-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, path)
-    return path
-
-
 def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     return stored(spark, df, name, **options)[0]
@@ -56,9 +30,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Da
 
 def stored(spark: SparkSession, df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """``written`` with the table's path, for steps that delete a table once the next one is there."""
-    path = table_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return tables.stored(df, name, **options)
 
 
 def carried(keep: list[str], added: list[str]) -> dict[str, str]:
@@ -83,33 +55,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-#: A key is hot if it has more rows than this and than a MOST_HOT-th of all; so there are fewer than MOST_HOT of them.
+#: A key is hot if it has more rows than this and than a MOST_HOT-th of all.
 HOT_ROWS, MOST_HOT = 1000, 1000
 
 
-def hot_keys(rows: DataFrame, on: list[str], total: int) -> DataFrame | None:
-    """The keys that hold more rows than a task should get, with _ways, the number of tasks to deal them over; None if
-    there is none. Counted by partial aggregates; fewer than MOST_HOT whatever the number of rows, so they may be
-    collected and broadcast."""
-    limit = max(HOT_ROWS, total // MOST_HOT)
-    found = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("long").alias("_ways")).collect()
-    schema = T.StructType([*[rows.schema[c] for c in on], T.StructField("_ways", T.LongType())])
-    return rows.sparkSession.createDataFrame(found, schema) if found else None
-
-
 def spread_join(rows: DataFrame, one: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """``rows``, of which there are ``total``, joined (inner, left or left_semi) with ``one``, which has one row a key at
-    most. The rows of a hot key are dealt over several tasks by a hash of the row, and its row of ``one`` is copied to
-    each of them: at most 2 * MOST_HOT copies in all."""
-    hot = hot_keys(rows, on, total)
-    if hot is None:
-        return rows.join(one, on, how)
-    hot = F.broadcast(hot)
-    dealt = F.when(F.col("_ways").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), "_ways")).cast("long")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_ways") - 1, F.lit(0)).cast("long")))
-    left = rows.join(hot, on, "left").withColumn("_salt", dealt).drop("_ways")
-    right = one.join(hot, on, "left").withColumn("_salt", copies).drop("_ways")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    """``tables.spread_join`` with this subpackage's bounds: the rows of hot keys are dealt over several tasks."""
+    return tables.spread_join(rows, one, on, total, how, HOT_ROWS, MOST_HOT)
 
 
 #: What a Python worker keeps between tasks, by key: one thing at a time.

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from corvina import tables
 from corvina.llm import common, neardup
 
 from .conftest import ODD
@@ -96,9 +97,9 @@ def test_spread_join(spark, how):
     one = spark.createDataFrame([(k, f"v{k}") for k in (7, 8, *range(150, 220))], "key long, v string")
     got, want = common.spread_join(rows, one, ["key"], rows.count(), how), rows.join(one, ["key"], how)
     assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
-    hot = {r["key"]: r["_ways"] for r in common.hot_keys(rows, ["key"], rows.count()).collect()}
+    hot = {r["key"]: r["_ways"] for r in tables.hot_keys(rows, ["key"], rows.count(), 1000).collect()}
     assert hot == {7: 3, 8: 2}
-    assert common.hot_keys(rows.where("key > 8"), ["key"], 100) is None
+    assert tables.hot_keys(rows.where("key > 8"), ["key"], 100, 10) is None
 
 
 def test_sketch_agreement():
