@@ -58,23 +58,24 @@ def written(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
 HOT_ROWS, MOST_HOT = 10_000, 1000
 
 
-def hot_keys(rows: DataFrame, on: list[str], total: int, least: int = HOT_ROWS, most: int = MOST_HOT) -> DataFrame | None:
+def hot_keys(rows: DataFrame, on: list[str], total: int, least: int = HOT_ROWS, most: int = MOST_HOT, counts: DataFrame | None = None) -> DataFrame | None:
     """The keys that hold more rows than a task should get, with _ways, the number of tasks to deal them over; None if
-    there is none. Counted by partial aggregates; fewer than ``most`` whatever the number of rows, so they may be
-    collected and broadcast."""
+    there is none. Counted by partial aggregates, unless ``counts`` (the keys with _n) are at hand; fewer than ``most``
+    whatever the number of rows, so they may be collected and broadcast."""
     limit = max(least, total // most)
     if total <= limit:
         return None
-    found = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("long").alias("_ways")).collect()
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts
+    found = counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("long").alias("_ways")).collect()
     schema = T.StructType([*[rows.schema[c] for c in on], T.StructField("_ways", T.LongType())])
     return rows.sparkSession.createDataFrame(found, schema) if found else None
 
 
-def spread_join(rows: DataFrame, one: DataFrame, on: list[str], total: int, how: str = "inner", least: int = HOT_ROWS, most: int = MOST_HOT) -> DataFrame:
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], total: int, how: str = "inner", least: int = HOT_ROWS, most: int = MOST_HOT, counts: DataFrame | None = None) -> DataFrame:
     """``rows``, of which there are ``total``, joined (inner, left or left_semi) with ``one``, which has few rows a key.
     The rows of a hot key are dealt over several tasks by a hash of the row, and its rows of ``one`` are copied to each of
     them: at most 2 * ``most`` times in all."""
-    hot = hot_keys(rows, on, total, least, most)
+    hot = hot_keys(rows, on, total, least, most, counts)
     if hot is None:
         return rows.join(one, on, how)
     hot = F.broadcast(hot)
