@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["export_bibtex", "export_ris", "export_screening", "map_crossref", "read_wos", "read_nbib"])
+@pytest.mark.parametrize("name", ["export_bibtex", "export_ris", "export_screening", "map_crossref", "read_wos", "read_nbib", "read_ris"])
 def test_initial(spark, folder, name):
     ours, theirs = both(spark, QUERIES[name], ORACLE[name], folder)
     assert ours[1] and ours == theirs
