@@ -167,7 +167,7 @@ def detected_formats(spark, sf_dir):
     for name, make in kinds.items():
         own = make(r).withColumn("path", F.concat(F.lit(name), F.lit("/"), "path"))
         out = own if out is None else out.unionByName(own)
-    return exports.parsed(out).select("path", "format", "encoding").distinct().groupBy("format", "encoding").agg(F.count("*").alias("files"))
+    return exports.formats(out).distinct().groupBy("format", "encoding").agg(F.count("*").alias("files"))
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS seen, count(CASE WHEN {KEPT} THEN 1 END) AS accepted, count(CASE WHEN NOT {KEPT} THEN 1 END) AS no_content, CAST(0 AS BIGINT) AS notes FROM records")
