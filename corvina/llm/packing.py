@@ -164,6 +164,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 1
     bases = bases.select("length", "part", F.coalesce("base", F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table, _ = slots(shortest_pack_first(histogram, capacity))
-    ranked = pieces.join(bases, ["length", "part"]).withColumn("r", F.col("rank") + F.col("base"))
+    # full pieces hold most of the ids; their bases, one for each task, are sent to them, so that only rests are shuffled
+    full, rest = F.col("length") == capacity, F.col("length") < capacity
+    ranked = pieces.where(full).join(F.broadcast(bases.where(full)), ["length", "part"]).unionByName(pieces.where(rest).join(bases.where(rest), ["length", "part"]))
+    ranked = ranked.withColumn("r", F.col("rank") + F.col("base"))
     out = placed(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "r"), Slots(table))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
